@@ -132,7 +132,7 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 50, k: int = 5, levels: int = 4, probes: int = 11, sample_rows: int = 4096, cell_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 50, k: int = 5, levels: int = 6, probes: int = 46, sample_rows: int = 4096, cell_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`. The index is fitted on at most
     sample_rows rows, chosen by a hash of their ids, and holds all rows."""
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +37,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def ngrams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of the words, with ^ and $ around each, and where each word's begin."""
-    flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # bytes to the word's end, this one included
+    flat = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    first = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
-    at, own = [], []
+    place = np.arange(len(flat)) - first[owner]
+    many = [np.maximum(sizes - n + 1, 0) for n in _SIZES]
+    total = sum(many)
+    starts = np.cumsum(total) - total
+    out, base = np.empty(int(total.sum()), np.int64), starts.copy()
+    h, done = np.zeros(len(flat), np.uint64), 0
     for k, n in enumerate(_SIZES):
-        ok = np.flatnonzero((left >= n) | ((n == 3) & (left >= 2) & (np.repeat(sizes, sizes) == 2)))
-        h = np.zeros(len(ok), np.uint64)
-        for i in range(n):
-            h = h * np.uint64(1000003) + flat[np.minimum(ok + i, len(flat) - 1)] + np.uint64(1)
-        h ^= h >> np.uint64(17)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        at.append((h >> np.uint64(40)).astype(np.int64) % buckets + k * buckets)
-        own.append(owner[ok])
-    at, own = np.concatenate(at), np.concatenate(own)
-    order = np.argsort(own, kind="stable")
-    return at[order], np.searchsorted(own[order], np.arange(len(words)))
+        while done < n:
+            h[: len(flat) - done] = h[: len(flat) - done] * np.uint64(1000003) + flat[done:] + np.uint64(1)
+            done += 1
+        ok = np.flatnonzero(place + n <= sizes[owner])
+        x = (h[ok] ^ (h[ok] >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
+        out[base[owner[ok]] + place[ok]] = (x >> np.uint64(40)).astype(np.int64) % buckets + k * buckets
+        base += many[k]
+    return out, starts
+
+
+def _sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values that have the same index."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        cuts = np.append(0, np.flatnonzero(np.diff(at[order])) + 1)
+        out[at[order[cuts]]] = np.add.reduceat(values[order], cuts, axis=0)
+    return out
 
 
 class BiGru:
@@ -69,7 +82,7 @@ class BiGru:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         """One row for each word, and what the gradient needs."""
-        own = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
+        own = np.fromiter(map(self.index.get, words, repeat(0)), np.int64, len(words))
         at, starts = ngrams(words, self.buckets)
         n = np.diff(np.append(starts, len(at)))
         by = (1 / np.sqrt(np.maximum(n, 1)))[:, None].astype(_F)
@@ -82,12 +95,12 @@ class BiGru:
 
     def forward(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows; at: (windows, time) rows of gates, 0 for padding."""
-        h_, (b, t) = self.hidden, at.shape
+        h_, (b, t), turned = self.hidden, at.shape, np.ascontiguousarray(at.T)
         states, kept = np.empty((t, b, 2 * h_), _F), [[], []]
         for way in (0, 1):
             u, h, g = self.p["u"][way], np.zeros((b, h_), _F), gates[way]
             for i in range(t) if way == 0 else range(t - 1, -1, -1):
-                x, hu = g[at[:, i]], h @ u
+                x, hu = g.take(turned[i], axis=0), h @ u
                 rz = _sigmoid(x[:, : 2 * h_] + hu[:, : 2 * h_])
                 r, z, hn = rz[:, :h_], rz[:, h_:], hu[:, 2 * h_ :]
                 n = np.tanh(x[:, 2 * h_ :] + r * hn)
@@ -96,7 +109,7 @@ class BiGru:
                 h = n + z * (h - n)
                 states[i, :, way * h_ : (way + 1) * h_] = h
         e = states @ self.p["v"]
-        e[(at == 0).T] = -1e4
+        e[turned == 0] = -1e4
         e -= e.max(axis=0)
         a = np.exp(e)
         a /= a.sum(axis=0)
@@ -115,16 +128,17 @@ class BiGru:
         ds = a[:, :, None] * dp + de[:, :, None] * self.p["v"]
         dgates, du = np.zeros_like(gates), np.zeros_like(self.p["u"])
         for way in (0, 1):
-            u, dh = self.p["u"][way], np.zeros((len(at), h_), _F)
+            u, dh, dx = self.p["u"][way], np.zeros((len(at), h_), _F), np.zeros((at.shape[1], len(at), 3 * h_), _F)
             for i, h, r, z, n, hn in reversed(kept[way]):
                 dh = dh + ds[i, :, way * h_ : (way + 1) * h_]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * hn * r * (1 - r)
                 dhu = np.concatenate([dr, dz, dn * r], axis=1)
-                np.add.at(dgates[way], at[:, i], np.concatenate([dr, dz, dn], axis=1))
+                dx[i] = np.concatenate([dr, dz, dn], axis=1)
                 du[way] += h.T @ dhu
                 dh = dh * z + dhu @ u.T
+            dgates[way] = _sum_by(at.T.ravel(), dx.reshape(-1, 3 * h_), gates.shape[1])
         grad["u"] = du
         return grad, dgates
 
@@ -193,8 +207,8 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
             logit, saved = net.forward(gates, grid[best], keep=True)
             d = ((_sigmoid(logit) - y[own]) / len(own)).astype(_F)
             grad, dg = net.backward(d, gates, grid[best], saved)
-            grad["w"], grad["b"] = np.einsum("nd,wng->wdg", x, dg), dg.sum(axis=1, keepdims=True)
-            dx = np.einsum("wng,wdg->nd", dg, net.p["w"])
+            grad["w"], grad["b"] = x.T @ dg, dg.sum(axis=1, keepdims=True)
+            dx = (dg @ net.p["w"].transpose(0, 2, 1)).sum(axis=0)
             dx[0] = 0
             step += 1
             for k, g in grad.items():
@@ -203,8 +217,7 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
             ids, at, n, by = back
             for name, rows, g in (("words", ids, dx[:, : net.width]), ("grams", at, np.repeat(dx[:, net.width :] * by, n, axis=0))):
                 touched, where = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(touched), net.width), _F)
-                np.add.at(total, where, g)
+                total = _sum_by(where, g, len(touched))
                 sq[name][touched] += (total * total).mean(axis=1, keepdims=True)
                 getattr(net, name)[touched] -= 0.03 * total / (np.sqrt(sq[name][touched]) + 1e-6)
             net.words[0] = 0
@@ -215,38 +228,48 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
     return net, out
 
 
+class _Rows(dict):
+    """Row of each word; new words are numbered as they come."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Scorer:
     """Scores texts; the gate inputs of up to `limit` distinct words are kept."""
 
-    def __init__(self, net: BiGru, size: int, stride: int, limit: int = 200_000, block: int = 4096):
+    def __init__(self, net: BiGru, size: int, stride: int, limit: int = 350_000, block: int = 4096):
         self.net, self.size, self.stride, self.limit, self.block = net, size, stride, limit, block
         self.reset()
 
     def reset(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.gates = np.zeros((2, 1, 3 * self.net.hidden), _F) + self.net.p["b"]
-        self.room = self.gates
-
-    def _learn(self, words: list[bytes]) -> None:
-        n = len(self.rows) + 1
-        if n + len(words) > self.room.shape[1]:
-            self.room = np.concatenate([self.room[:, :n], np.empty((2, len(words) + n // 2, self.room.shape[2]), _F)], axis=1)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        self.rows = _Rows()
+        self.room = np.zeros((2, 1, 3 * self.net.hidden), _F) + self.net.p["b"]
+        self.done = 1
+
+    def _learn(self) -> None:
+        new, n = self.rows.new, self.done
+        if n + len(new) > self.room.shape[1]:
+            self.room = np.concatenate([self.room[:, :n], np.empty((2, len(new) + n // 2, self.room.shape[2]), _F)], axis=1)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             self.room[:, n : n + len(part)] = self.net.gates(self.net.inputs(part)[0])
-            self.rows.update(zip(part, range(n, n + len(part))))
             n += len(part)
+        self.rows.new, self.done = [], n
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
         if len(self.rows) > self.limit:
             self.reset()
-        new = dict.fromkeys(w for words in split for w in words if w not in self.rows)
-        if new:
-            self._learn(list(new))
-        get = self.rows.__getitem__
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((i for words in split for i in map(get, words)), np.int32, int(lengths.sum()))
+        flat = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+        self._learn()
         flat = flat if len(flat) else np.zeros(1, np.int32)
         first = np.cumsum(lengths) - lengths
         text, start = windows(lengths, self.size, self.stride)
@@ -261,7 +284,7 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 32, stride: int = 16, epochs: int = 6, sample_rows: int = 1200, sample_bytes: int = 20_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 48, stride: int = 32, epochs: int = 2, sample_rows: int = 1000, sample_bytes: int = 20_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     known = cut(training_labels(labels, label_col).where(~fold("doc_id", folds, held_fold)), "labels")
