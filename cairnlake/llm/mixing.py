@@ -13,6 +13,8 @@ repeat share the order by size; rows alike in id, source and size are interchang
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,14 @@ def position(words: Column, target: Column, slope: Column) -> Column:
     return F.when(target > 0, F.when(slope == 0, x).otherwise(root))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, bucket_rows: int = 20_000, ordered: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, ordered: bool = True) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, position and again (where the second taking of a document
     stands, if there is one), sorted by position."""
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     base = cut(base.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
-    buckets = max(16, base.count() // bucket_rows + 1)
+    # As many buckets as each has rows at most: neither the sums of a source's buckets nor a bucket outgrows a task.
+    buckets = max(16, math.isqrt(base.count()))
     # The first 8 hexadecimal digits of the md5, scaled: buckets follow the order of the md5.
     bucket = (F.conv(F.substring("rank", 1, 8), 16, 10).cast("long") * buckets / 2.0**32).cast("long")
     base = base.withColumn("bucket", bucket).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
