@@ -45,7 +45,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
 def position(words: Column, target: Column, slope: Column) -> Column:
     """The time by which the demand of a source reaches `words`."""
     x, b = words / target, 1 - slope
-    root = (F.sqrt(F.greatest(b * b + 4 * slope * x, F.lit(0.0))) - b) / (2 * slope)
+    root = (F.sqrt(F.greatest(b * b + 4 * slope * x, F.lit(0.0))) - b) / (2 * slope) + 0.0
     return F.when(target > 0, F.when(slope == 0, x).otherwise(root))
 
 

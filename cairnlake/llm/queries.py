@@ -73,7 +73,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairnlake.llm.mixing import mix_sources
 
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("position", 6) + 0.0).alias("position"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ with d as (
 select doc_id, size, source_size, target, (once + twice)::bigint as taken,
        round(case when once > 0 and target > 0 then
          case when slope = 0 then start / target
-              else (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (start / target), 0.0)) - (1 - slope)) / (2 * slope) end end, 6) as position
+              else (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (start / target), 0.0)) - (1 - slope)) / (2 * slope) + 0.0 end end, 6) + 0.0 as position
 from k
 """
 
