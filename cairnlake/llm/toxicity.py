@@ -192,7 +192,7 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
     m, v = ({k: np.zeros_like(q) for k, q in net.p.items()} for _ in range(2))
     sq = {"words": np.zeros((len(net.words), 1), _F), "grams": np.zeros((len(net.grams), 1), _F)}
     step = 0
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, 4000 // int(fit.sum()))):  # small samples are gone through more often
         for own in np.array_split(rng.permutation(np.flatnonzero(fit)), max(1, fit.sum() // 32)):
             text, start = windows(lengths[own], size, stride)
             grid = _grid(flat, first[own], lengths[own], text, start, size)
