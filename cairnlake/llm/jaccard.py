@@ -1,9 +1,9 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, through parity sketches.
 
-Every shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the size of the symmetric
+Every shingle flips one bit of a sketch, so that the Hamming distance of two sketches is at most the size of the symmetric
 difference of the sets. Sets of a and b shingles with similarity s >= t differ in at most (a+b)(1-t)/(1+t) shingles. In
-a band of sizes that bound is a number d; a sketch cut into d+1 blocks then agrees with that of every partner in at
-least one whole block. Documents near the edge of a band also have a sketch for pairs across the edge. Documents meet on
+a band of sizes that bound is a number d; shingles dealt into d+1 blocks then agree with those of every partner in at
+least one whole block, and so does the XOR of their hashes, which is the block's key. Documents near the edge of a band also have a sketch for pairs across the edge. Documents meet on
 equal blocks, and pairs are verified on the whole sets.
 
 Groups are not expanded into pairs. Equal sets are one class from the start. On each block the class with the smallest
@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.components import components
 from cairnlake.llm.shared import WordHashes, cut, mix, small
 
-RATIO = 1.5
-ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, edge_tag int, edge array<long>"
+ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, inner_bits array<long>, edge_tag int, edge array<long>, edge_bits array<long>"
 _U = np.uint64
 
 
@@ -40,13 +39,14 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.ratio = max(1.5, 110 / percent)  # at least the largest ratio of linked sizes: links stay in a band or cross one edge
 
     def top(self, band: int) -> int:
-        return math.floor(RATIO**band)
+        return math.floor(self.ratio**band)
 
     def band(self, n: int) -> int:
         """The band that holds sizes over top(band - 1), up to top(band)."""
-        k = max(0, math.ceil(math.log(n, RATIO)) - 2)
+        k = max(0, math.ceil(math.log(n, self.ratio)) - 2)
         while self.top(k) < n:
             k += 1
         return k
@@ -55,15 +55,20 @@ class Bands:
         """The most shingles by which two linked sets of `total` shingles together can differ."""
         return total * (100 - self.percent) // (100 + self.percent)
 
+    def slack(self, d: int) -> int:
+        """How many empty blocks a sketch may leave out: about as many as it is likely to have."""
+        filled = (100 + self.percent) / (2 * (100 - self.percent)) / self.ratio
+        return 0 if d < 3 else 1 + int(1.6 * math.exp(-filled) * d)
+
     def tags(self, n: int) -> list[tuple[int, int]]:
-        """(tag, blocks) for the band of n, then for the edge that it is near to; even tags are bands, odd ones edges."""
+        """(tag, d) for the band of n, then for the edge that it is near to; even tags are bands, odd ones edges."""
         k, p = self.band(n), self.percent
-        out = [(2 * k, self.differ(2 * self.top(k)) + 1)]
+        out = [(2 * k, self.differ(2 * self.top(k)))]
         for edge in (k - 1, k):
             low = self.top(edge)
             high = low * 100 // p  # the largest partner of a set of that size
             if high > low and (n <= high if edge < k else 100 * n >= p * (low + 1)):
-                out.append((2 * edge + 1, self.differ(low + high) + 1))
+                out.append((2 * edge + 1, self.differ(low + high)))
         return out
 
 
@@ -80,10 +85,20 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(got + _U(size)))
 
 
-def sketch(found: np.ndarray, blocks: int) -> np.ndarray:
-    """Parity of the shingles on each of 64 bits a block."""
-    at = ((found >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64) * 64 + (found & _U(63)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * blocks).astype(np.uint8) & 1, bitorder="little").view("<i8")
+def sketch(found: np.ndarray, tag: int, d: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, bits) of sorted shingle hashes: for each of d + 1 + slack blocks a key from the XOR of its shingles' hashes,
+    and the parities of the shingles on its 16 bits, four blocks to a word. Empty blocks have no key if there are at most
+    `slack`: of two linked sets, at least slack + 1 blocks agree, so that one with a key does."""
+    blocks = d + 1 + slack
+    at = ((found >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64)
+    words = np.bincount(at * 16 + (found & _U(15)).astype(np.int64), minlength=64 * -(-blocks // 4)).astype(np.uint8)
+    starts = np.append(0, np.flatnonzero(np.diff(at)) + 1)
+    keys, places = np.bitwise_xor.reduceat(mix(found), starts), at[starts]
+    if blocks - len(starts) > slack:
+        empty = np.setdiff1d(np.arange(blocks), places)
+        keys, places = np.append(keys, np.zeros(len(empty), _U)), np.append(places, empty)
+    keys = mix(keys ^ mix((places + 1).astype(_U) + _U(tag << 40)))
+    return keys.view("<i8"), np.packbits(words & 1, bitorder="little").view("<i8")
 
 
 def _sketcher(width: int, percent: int):
@@ -95,17 +110,17 @@ def _sketcher(width: int, percent: int):
                 for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                     found = shingles(words.of((raw.as_py() or b"").lower().split()), width)
                     if not len(found):
-                        rows.append((doc_id, 0, 0, 0, [(None, None)] * 2))
+                        rows.append((doc_id, 0, 0, 0, [(None, None, None)] * 2))
                         continue
-                    own = [(tag, sketch(found, blocks)) for tag, blocks in bands.tags(len(found))]
+                    own = [(tag, *sketch(found, tag, d, bands.slack(d))) for tag, d in bands.tags(len(found))]
                     hi, lo = (int(np.bitwise_xor.reduce(mix(found * _U(k))).view(np.int64)) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
                     # A set near both edges of a narrow band has both edge sketches in one row of tags.
-                    rows += [(doc_id, len(found), hi, lo, [own[0] if i == 0 else (None, None), edge]) for i, edge in enumerate(own[1:] or [(None, None)])]
+                    rows += [(doc_id, len(found), hi, lo, [own[0] if i == 0 else (None, None, None), edge]) for i, edge in enumerate(own[1:] or [(None, None, None)])]
                 columns = list(zip(*rows)) if rows else [[]] * 5
                 both = list(zip(*columns[4])) if rows else [[], []]
                 arrays = [pa.array(columns[i], pa.int64()) for i in range(4)]
                 for own in both:
-                    arrays += [pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own], pa.list_(pa.int64()))]
+                    arrays += [pa.array([x[0] for x in own], pa.int32()), *(pa.array([x[i] for x in own], pa.list_(pa.int64())) for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ROWS.split(", ")])
 
     return run
@@ -147,6 +162,18 @@ def _tiles(percent: int):
     return run
 
 
+def _near(pairs: DataFrame, sketched: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """The pairs whose sketches of the same tag are within the Hamming bound, as those of every linked pair are."""
+    asked = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked"), broadcast_rows)
+    own = cut(sketched.drop("keys").join(asked, "doc_id", "left_semi"), "asked-sketches")
+    of = lambda x: own.select(F.col("doc_id").alias(x), "tag", F.col("own").alias(f"own_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    joined = pairs.join(of("b"), "b").join(of("a"), ["a", "tag"])
+    apart = F.aggregate(F.zip_with("own_a", "own_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    low, high, both = F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), F.col("n_a") + F.col("n_b")
+    joined = joined.where(100 * low >= percent * high)
+    return joined.where(apart * (100 + percent) <= both * (100 - percent)).select("a", "b").distinct()
+
+
 def _linked(base: DataFrame, pairs: DataFrame, width: int, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity; only texts of documents in a pair are read and moved."""
     asked = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked"), broadcast_rows)
@@ -159,7 +186,7 @@ def _linked(base: DataFrame, pairs: DataFrame, width: int, percent: int, broadca
     return joined.where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tile: int = 2048, broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tile: int = 2048, broadcast_rows: int = 2_000_000, block_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(base.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketcher(width, percent), ROWS), "sketches")
@@ -172,28 +199,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Blocks of one document for each class.
     alone = rows.where("n_shingles > 0").join(small(doubles, broadcast_rows), ["n_shingles", "hi", "lo"], "left").where("class_id is null or class_id = doc_id")
-    tagged = [alone.where(f"{c}_tag is not null").select("doc_id", "n_shingles", F.col(f"{c}_tag").alias("tag"), F.col(c).alias("own")) for c in ("inner", "edge")]
+    tagged = [alone.where(f"{c}_tag is not null").select("doc_id", "n_shingles", F.col(f"{c}_tag").alias("tag"), F.col(c).alias("keys"), F.col(f"{c}_bits").alias("own")) for c in ("inner", "edge")]
     sketched = tagged[0].unionByName(tagged[1])
-    blocks = sketched.select("doc_id", "tag", F.posexplode("own").alias("at", "bits")).select("doc_id", F.xxhash64("tag", "at", "bits").alias("block"))
+    blocks = sketched.select("doc_id", F.explode("keys").alias("block"))
     met = blocks.groupBy("block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
     met = cut(met.where("low <> high"), "met")
 
     # Two members are a pair as they are; more are read again, and meet the smallest.
     pairs = met.where("rows = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
-    many = cut(met.where("rows > 2").select("block", "low").join(blocks, "block"), "members")
+    many = cut(blocks.join(small(met.where("rows > 2").select("block", "low"), block_rows), "block"), "members")
     pairs = pairs.unionByName(many.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()).distinct()
     pairs = cut(pairs, "pairs")
-    links = cut(_linked(base, pairs, width, percent, broadcast_rows), "linked")
+    near = cut(_near(pairs, sketched, percent, broadcast_rows), "near")
+    links = cut(_linked(base, near, width, percent, broadcast_rows), "linked")
     found = components(links)
 
     # Blocks that still hold several components.
     known = many.join(found, F.col("doc_id") == F.col("node"), "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = known.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("block", "size")
+    members = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    open_ = known.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *members).where("x <> y")
+    open_ = open_.groupBy("size", "m1", "m2").agg(F.min("block").alias("block")).select("block", "size")  # one of the blocks with the same members
     rest = cut(known.join(open_, "block"), "open")
     if not rest.isEmpty():
-        own = sketched.select("doc_id", "n_shingles", "tag", F.posexplode("own").alias("at", "bits"), "own").withColumn("block", F.xxhash64("tag", "at", "bits"))
-        asked = small(rest.select("block", "doc_id").distinct(), broadcast_rows)
-        own = own.join(asked, ["block", "doc_id"], "left_semi").select("block", "tag", "doc_id", "n_shingles", "own")
+        own = sketched.join(small(cut(rest.select("doc_id").distinct(), "open-ids"), broadcast_rows), "doc_id", "left_semi")
+        own = own.select(F.explode("keys").alias("block"), "tag", "doc_id", "n_shingles", "own")
         chunks = F.ceil(F.col("size") / tile).cast("int")
         rest = rest.join(own, ["block", "doc_id"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
