@@ -12,9 +12,11 @@ Defined cases: a null text is an empty one, whose only token is the end. Every r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,62 +27,131 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The combining marks U+0300 to U+036F in UTF-8, the only ones that join with A-Z.
+_MARKS = re.compile(rb"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]")
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Words whose parts are told apart here: visible ASCII without capitals, and Latin letters that normalisation leaves alone.
+_PLAIN = re.compile(f"[!-@\\[-~{_LETTERS}]+")
+#: Fixed value: the tokenizer's own rule for parts of a word, over those characters.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+|\n")
+
+
+class Numbered(dict):
+    """Numbers words in the order of their first use; `new` lists those that were added last."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def of(self, words: Iterable, count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, count)
+
+    def taken(self) -> list:
+        out, self.new = self.new, []
+        return out
+
+
+class Runs:
+    """Runs of ids by number, one behind the other."""
+
+    def __init__(self):
+        self.flat, self.sizes, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) > len(self.sizes):
+            self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs `at`, joined, and where each of them ends."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        index = np.repeat((self.starts[at] - ends + sizes).astype(np.int32), sizes)
+        index += np.arange(len(index), dtype=np.int32)
+        return self.flat[index], ends
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer whose normaliser and pre-tokeniser never look across white space: distinct words are
-    encoded once and kept."""
+    """Ids of UTF-8 texts by a lower-casing BPE tokenizer with word ends whose normaliser and pre-tokeniser never look
+    across white space. Distinct words are encoded once and kept, up to `limit` of them, and so are the distinct parts
+    of plain words; other words go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.sizes, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        n = len(self.index)
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            got = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.sizes):
-                self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
-            self.sizes[n : n + len(part)] = sizes
-            self.starts[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.index.update(zip(part, range(n, n + len(part))))
-            n, self.used = n + len(part), self.used + total
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        self.words, self.parts, self.word_runs, self.part_runs = Numbered(), Numbered(), Runs(), Runs()
+        self.words[None] = 0  # the end of a text, whose only id is set at each call
+        self.word_runs.add(np.zeros(1, np.uint32), np.ones(1, np.int64))
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter((_PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts), bool, len(texts))
+        parts = _PARTS.findall("\n".join(x for x, ok in zip(texts, plain) if ok).lower())
+        at = self.parts.of(parts, len(parts))
+        new = self.parts.taken()
+        for k in range(0, len(new), 5000):
+            some = new[k : k + 5000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+            if "\n" in some:
+                sizes = np.insert(sizes, some.index("\n"), 0)
+            if len(sizes) != len(some):
+                raise ValueError("the vocabulary lacks word ends")
+            self.part_runs.add(ids, sizes)
+        ids, ends = self.part_runs.of(at)
+        last = ends[np.append(at[1:] == self.parts.get("\n"), True)] if len(parts) else ends  # of the last part of each word
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(last, prepend=0)
+        rest = [x.ids for x in self.tokenizer.encode_batch_fast([x for x, ok in zip(texts, plain) if not ok], add_special_tokens=False)]
+        sizes[~plain] = list(map(len, rest))
+        both = np.empty(int(sizes.sum()), np.uint32)
+        own = np.repeat(plain, sizes)
+        both[own], both[~own] = ids, [i for x in rest for i in x]
+        self.word_runs.add(both, sizes)
+
+    def _words(self, raw: bytes) -> list[bytes | None]:
+        """Words between ASCII white space, then None; other white space stays within them, for the tokenizer to treat.
+        A-Z become a-z where that changes no id: marks after a capital can make another letter than after a small one."""
+        low = raw.lower()
+        odd = low != raw and (not raw.isascii() and _MARKS.search(raw) or any(x in low for x in self.special))
+        words: list[bytes | None] = (raw if odd else low).split()
+        words.append(None)
+        return words
+
+    def encode(self, raws: list[bytes], end: int) -> list[np.ndarray]:
         """Ids of each text, then the end."""
-        split = [x.split() if x.isascii() else _split(x) for x in texts]
-        if len(self.index) > self.limit:
+        if len(self.words) > self.limit:
             self.reset()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.index))
-        self._learn(new)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            last = np.cumsum(sizes)
-            total = int(last[-1]) if len(at) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(self.starts[at] - last + sizes, sizes)]
-            ids[total] = end
-            out.append(ids)
-        return out
-
-
-def _split(text: str) -> list[str]:
-    """Words between ASCII white space; other white space stays within them, for the tokenizer to treat."""
-    return [x.decode("utf-8", "surrogatepass") for x in text.encode("utf-8", "surrogatepass").split()]
+        split = list(map(self._words, raws))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = self.words.of(chain.from_iterable(split), int(counts.sum()))
+        self._learn(self.words.taken())
+        self.word_runs.flat[0] = end
+        ids, ends = self.word_runs.of(at)
+        return np.split(ids, ends[np.cumsum(counts)[:-1] - 1]) if len(split) else []
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -184,7 +255,7 @@ def _packer(path: str, end: int, capacity: int, pool: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode([x or "" for x in batch.column(1).to_pylist()], end)):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode([x or b"" for x in batch.column(1).to_pylist()], end)):
                     packer.add(doc_id, ids)
                 yield packer.drain()
         packer.finish()
@@ -195,5 +266,5 @@ def _packer(path: str, end: int, capacity: int, pool: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end: int = 2, capacity: int = 4096, pool: int = 1500) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return base.mapInArrow(_packer(tokenizer_path, end, capacity, pool), PIECES)
