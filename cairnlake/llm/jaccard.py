@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = rows.where("n_shingles > 0").join(small(doubles, broadcast_rows), ["n_shingles", "hi", "lo"], "left").where("class_id is null or class_id = doc_id")
     tagged = [alone.where(f"{c}_tag is not null").select("doc_id", "n_shingles", F.col(f"{c}_tag").alias("tag"), F.col(c).alias("keys"), F.col(f"{c}_bits").alias("own")) for c in ("inner", "edge")]
     sketched = tagged[0].unionByName(tagged[1])
-    blocks = sketched.select("doc_id", F.explode("keys").alias("block"))
+    blocks = sketched.select("doc_id", "tag", F.explode("keys").alias("block"))
     met = blocks.groupBy("block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
     met = cut(met.where("low <> high"), "met")
 
@@ -215,16 +215,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links)
 
     # Blocks that still hold several components.
-    known = many.join(found, F.col("doc_id") == F.col("node"), "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    known = many.join(found, F.col("doc_id") == F.col("node"), "left").select("block", "tag", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     members = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
     open_ = known.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *members).where("x <> y")
     open_ = open_.groupBy("size", "m1", "m2").agg(F.min("block").alias("block")).select("block", "size")  # one of the blocks with the same members
     rest = cut(known.join(open_, "block"), "open")
     if not rest.isEmpty():
-        own = sketched.join(small(cut(rest.select("doc_id").distinct(), "open-ids"), broadcast_rows), "doc_id", "left_semi")
-        own = own.select(F.explode("keys").alias("block"), "tag", "doc_id", "n_shingles", "own")
+        own = sketched.drop("keys").join(small(cut(rest.select("doc_id").distinct(), "open-ids"), broadcast_rows), "doc_id", "left_semi")
         chunks = F.ceil(F.col("size") / tile).cast("int")
-        rest = rest.join(own, ["block", "doc_id"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+        rest = rest.join(own, ["doc_id", "tag"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         rest = rest.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
         tiles = rest.select("block", "tag", "left", "right", "chunk", "doc_id", "n_shingles", "component", "own").groupBy("block", "tag", "left", "right")
