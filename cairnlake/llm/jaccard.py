@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
-from cairnlake.llm.shared import WordHashes, cut, mix, small
+from cairnlake.llm.shared import WordHashes, cut, forget, mix, small
 
 ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, inner_bits array<long>, edge_tag int, edge array<long>, edge_bits array<long>"
 _U = np.uint64
@@ -195,7 +195,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(classes, "classes")
     doubles = classes.where("copies > 1").drop("copies")
     member = first.select("doc_id", "n_shingles", "hi", "lo").join(small(doubles, broadcast_rows), ["n_shingles", "hi", "lo"], "left")
-    member = member.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    member = cut(member.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "member")
 
     # Blocks of one document for each class.
     alone = rows.where("n_shingles > 0").join(small(doubles, broadcast_rows), ["n_shingles", "hi", "lo"], "left").where("class_id is null or class_id = doc_id")
@@ -232,5 +232,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             found = components(links.unionByName(_linked(base, more, width, percent, broadcast_rows)))
     found = small(found.where("node <> component"), broadcast_rows)
+    forget(rows, classes, met, many, pairs, near)  # the result depends on member and found alone
     out = member.join(found, member["class_id"] == found["node"], "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))

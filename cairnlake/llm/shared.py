@@ -32,7 +32,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: later stages survive the loss of any executor."""
     path = f"{scratch(df.sparkSession)}/cairnlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these; nothing that is still to be computed may depend on them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
