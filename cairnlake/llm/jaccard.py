@@ -18,11 +18,11 @@ fewer words than the width, the whole sequence is one shingle. Rows that repeat
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ from cairnlake.llm.components import components
 from cairnlake.llm.shared import WordHashes, cut, forget, mix, small
 
 ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, inner_bits array<long>, edge_tag int, edge array<long>, edge_bits array<long>"
+TILE = ("block", "tag", "left", "right")
 _U = np.uint64
 
 
@@ -138,26 +139,61 @@ def _sets(width: int):
     return run
 
 
+def _meet(rows: pa.Table, percent: int, words: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of rows that follow each other in one tile, are of different components and within the Hamming bound.
+
+    Rows are compared at a distance of 1, of 2 and so on, all tiles with sketches of one width at once, and at most
+    `words` words of sketches together."""
+    own = rows["own"].combine_chunks()
+    widths = own.value_lengths().to_numpy()
+    starts, flat = own.offsets.to_numpy()[:-1], own.values.to_numpy().view(_U)
+    key = np.stack([rows[c].to_numpy() for c in TILE], axis=1)
+    tile = np.append(0, np.cumsum((key[1:] != key[:-1]).any(axis=1)))
+    out = [np.empty((2, 0), np.int64)]
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)  # tiles have one tag, and so one width
+        of, from_ = tile[at], starts[at]
+        ids, n, comp, chunk = (rows[c].to_numpy()[at] for c in ("doc_id", "n_shingles", "component", "chunk"))
+        square = (rows["left"].to_numpy() == rows["right"].to_numpy())[at]
+        step, left = 0, np.arange(len(at))
+        while True:
+            step += 1
+            left = left[left + step < len(at)]
+            left = left[of[left] == of[left + step]]
+            if not len(left):
+                break
+            right = left + step
+            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            ask = (comp[left] != comp[right]) & (square[left] | (chunk[left] != chunk[right])) & (100 * low >= percent * high)
+            asked = left[ask]
+            for k in range(0, len(asked), max(1, words // max(1, int(width)))):
+                i = asked[k : k + max(1, words // max(1, int(width)))]
+                j, places = i + step, np.arange(width)
+                apart = np.bitwise_count(flat[from_[i][:, None] + places] ^ flat[from_[j][:, None] + places]).sum(axis=1, dtype=np.int64)
+                close = apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                out.append(np.sort(np.stack([ids[i[close]], ids[j[close]]]), axis=0))
+    both = np.unique(np.concatenate(out, axis=1), axis=1)
+    return both[0], both[1]
+
+
 def _tiles(percent: int):
-    """Pairs of one tile of a block that are of different components, not yet tested and within the Hamming bound."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bands = Bands(percent)
-        rows = rows.sort_values("doc_id", ignore_index=True)
-        words = np.stack(rows["own"].to_numpy()).view(np.uint64)
-        ids, n, comp, chunk = (rows[c].to_numpy() for c in ("doc_id", "n_shingles", "component", "chunk"))
-        _, _, left, right = key
-        out_a, out_b = [], []
-        for i in np.flatnonzero(chunk == left):
-            other = np.flatnonzero((chunk == right) & ((ids > ids[i]) if left == right else True) & (comp != comp[i]))
-            low, high = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            other = other[100 * low >= percent * high]
-            apart = np.bitwise_count(words[other] ^ words[i]).sum(axis=1)
-            limit = (n[other] + n[i]) * (100 - percent) // (100 + percent)
-            other = other[apart <= limit]
-            out_a += [min(ids[i], x) for x in ids[other]]
-            out_b += [max(ids[i], x) for x in ids[other]]
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+    """The pairs of _meet for rows sorted by tile; a tile may go over several batches and is at most two chunks long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                whole, kept = kept, None
+            else:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if kept is None else pa.concat_tables([kept, rows])
+                if not rows.num_rows:
+                    continue
+                key = np.stack([rows[c].to_numpy() for c in TILE], axis=1)
+                last = int(np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)[-1])  # where the last tile starts
+                whole, kept = rows.slice(0, last), rows.slice(last)
+            if whole is not None and whole.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _meet(whole, percent)], names=["a", "b"])
 
     return run
 
@@ -226,8 +262,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rest = rest.join(own, ["doc_id", "tag"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         rest = rest.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
-        tiles = rest.select("block", "tag", "left", "right", "chunk", "doc_id", "n_shingles", "component", "own").groupBy("block", "tag", "left", "right")
-        more = tiles.applyInPandas(_tiles(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        tiles = rest.select(*TILE, "chunk", "doc_id", "n_shingles", "component", "own").repartition(*TILE).sortWithinPartitions(*TILE)
+        more = tiles.mapInArrow(_tiles(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         more = cut(more, "more-pairs")
         if not more.isEmpty():
             found = components(links.unionByName(_linked(base, more, width, percent, broadcast_rows)))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,28 @@ def test_empty_tables(spark):
     made = [dedup.exact_dedup(docs), jaccard.jaccard_components(docs), mixing.mix_sources(docs), pii.find_pii(docs), hmm.score_hmm(docs), quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")), token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))]
     assert [df.count() for df in made] == [0] * 9
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_jaccard_tiles():
+    """Tiles cut anywhere into batches give the pairs of a plain double loop."""
+    rng = np.random.default_rng(5)
+    rows, want, doc = [], set(), 0
+    for block, size in enumerate((1, 2, 9, 40, 3)):
+        width, (left, right) = 1 + block % 2, ((0, 0), (0, 1))[block % 2]
+        own = []
+        for i in range(size):
+            doc += 1
+            bits = rng.integers(0, 2, 64 * width) if i % 3 == 0 else own[-1][4] ^ (rng.random(64 * width) < 0.03)
+            own.append((doc, int(rng.integers(20, 26)), doc - i % 2, left if i % 2 else right, bits))
+        for i, x in enumerate(own):
+            for y in own[:i]:
+                if x[2] != y[2] and (left == right or x[3] != y[3]) and 100 * min(x[1], y[1]) >= 80 * max(x[1], y[1]) and (x[4] != y[4]).sum() <= (x[1] + y[1]) * 20 // 180:
+                    want.add((y[0], x[0]))
+        rows += [(block, 2, left, right, x[3], x[0], x[1], x[2], np.packbits(x[4].astype(np.uint8), bitorder="little").view(np.int64).tolist()) for x in own]
+    assert want
+    table = pa.table(dict(zip((*jaccard.TILE, "chunk", "doc_id", "n_shingles", "component", "own"), map(list, zip(*rows)))))
+    for most in (1, 4, 1000):
+        made = list(jaccard._tiles(80)(iter(table.to_batches(max_chunksize=most))))
+        got = [(a, b) for batch in made for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not list(jaccard._tiles(80)(iter([])))
