@@ -49,11 +49,13 @@ def position(words: Column, target: Column, slope: Column) -> Column:
     return F.when(target > 0, F.when(slope == 0, x).otherwise(root))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, ordered: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, ordered: bool = True, row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, position and again (where the second taking of a document
-    stands, if there is one), sorted by position."""
+    stands, if there is one), sorted by position; and row_col (a number of the row, which settles the order of rows
+    alike in id and size) where it is named."""
+    number = [row_col] if row_col else []
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *number)
     base = cut(base.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
     # As many buckets as each has rows at most: neither the sums of a source's buckets nor a bucket outgrows a task.
     buckets = max(16, math.isqrt(base.count()))
@@ -65,7 +67,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_source = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, most, weights, slopes)
     per_source = per_source.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target", "slope")
     offsets = sums.select("key", "bucket", "before").join(per_source, "key")
-    own = Window.partitionBy("key", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("key", "bucket").orderBy("rank", "doc_id", "size", *number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = base.withColumn("within", F.sum("size").over(own) - F.col("size")).join(offsets, ["key", "bucket"])
     start = F.col("before") + F.col("within")
     whole = F.round("target").cast("long")
@@ -75,5 +77,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "source", "size", "source_size", "target", (once + twice).cast("long").alias("taken"),
         F.when(once > 0, position(start, F.col("target"), F.col("slope"))).alias("position"),
         F.when(twice > 0, position(start + F.col("source_size"), F.col("target"), F.col("slope"))).alias("again"),
+        *number,
     )
     return rows.orderBy(F.col("position").isNull(), "position", "doc_id") if ordered else rows

@@ -72,7 +72,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
             rows = [statistics(raw.as_py()) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            keys = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(rows, pa.list_(pa.float64()))], names=[*keys, "x"])
 
 
 @dataclass
@@ -129,10 +130,12 @@ def training_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -
     return good.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, folds: int = 5, held_fold: int = 0, cut_off: float = 0.3, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row for each row: doc_id, held_out, score, predicted."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    rows = cut(base.mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics").withColumn("held_out", fold("doc_id", folds, held_fold))
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, folds: int = 5, held_fold: int = 0, cut_off: float = 0.3, broadcast_rows: int = 2_000_000, row_col: str | None = None) -> DataFrame:
+    """One row for each row: doc_id, held_out, score, predicted, and row_col (a number of the row) where it is named."""
+    own = [row_col] if row_col else []
+    kept = "".join(f", `{c}` long" for c in own)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *own)
+    rows = cut(base.mapInArrow(_statistics, f"doc_id long{kept}, x array<double>"), "statistics").withColumn("held_out", fold("doc_id", folds, held_fold))
     known = small(cut(training_labels(labels, label_col), "labels"), broadcast_rows)
     train = rows.where("not held_out").join(known, "doc_id")
     d = len(STATISTICS)
@@ -155,14 +158,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = total[:, 0]
     if not counts.all():
         rate = float(counts[1] / counts.sum()) if counts.sum() else 0.5
-        return rows.select("doc_id", "held_out", F.lit(rate).alias("score"), F.lit(int(rate >= cut_off)).alias("predicted"))
+        return rows.select("doc_id", "held_out", F.lit(rate).alias("score"), F.lit(int(rate >= cut_off)).alias("predicted"), *own)
     model = Discriminant.fit(counts, total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
 
     def scorer(how: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.array(batch.column(1).flatten()).reshape(-1, d)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(getattr(model, how)(x), pa.float64())], names=["a", "score"])
+                rest = batch.schema.names[2:]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(getattr(model, how)(x), pa.float64()), *map(batch.column, rest)], names=["a", "score", *rest])
 
         return run
 
@@ -172,5 +176,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     held = {(r["label"], r["bin"]): r["count"] for r in bins}
     per = [np.array([float(held.get((c, b), 0)) for b in at]) for c in (1, 0)]
     model.slope, model.shift = logistic(np.array(at) / 2.0, *per)
-    out = rows.select("doc_id", "x").mapInArrow(scorer("score"), "doc_id long, score double")
-    return out.select("doc_id", fold("doc_id", folds, held_fold).alias("held_out"), "score", (F.col("score") >= cut_off).cast("int").alias("predicted"))
+    out = rows.select("doc_id", "x", *own).mapInArrow(scorer("score"), f"a long, score double{kept}").withColumnRenamed("a", "doc_id")
+    return out.select("doc_id", fold("doc_id", folds, held_fold).alias("held_out"), "score", (F.col("score") >= cut_off).cast("int").alias("predicted"), *own)
