@@ -27,8 +27,9 @@ RULES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-_TERM = r"^\p{L}[\p{L}\p{M}'-]{2,63}$"
-_STOPS = ".,;:!?()[]{}\"|"
+#: A term is a whole run of these characters, wherever it stands; the search for disclosing terms has the same bounds.
+_IN_TERM = r"[\p{L}\p{M}'-]"
+_TERM = rf"(?<!{_IN_TERM})\p{{L}}{_IN_TERM}{{2,63}}+(?!{_IN_TERM})"
 
 
 def _digits(x: Column) -> Column:
@@ -90,7 +91,7 @@ def entity_spans(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.translate(lower_ascii(text), _STOPS, " " * len(_STOPS)), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(_TERM))
+    return F.regexp_extract_all(lower_ascii(text), F.lit(_TERM), F.lit(0))
 
 
 def disclosing_terms(base: DataFrame, spans: DataFrame, *, near: int = 4, support: int = 2, share: float = 0.5, bits: float = 3.0, certain: float = 0.9, broadcast_rows: int = 500_000) -> DataFrame:
@@ -127,7 +128,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     words = base.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(known, "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.struct("term", "kind")).alias("kinds"))
     words = cut(words, "documents")
     longest = F.array_sort("terms", lambda a, b: F.length(b) - F.length(a))
-    rule = F.concat(F.lit(r"(?<![\p{L}\p{M}'-])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}'-])"))
+    rule = F.concat(F.lit(rf"(?<!{_IN_TERM})(?:"), F.array_join(longest, "|"), F.lit(rf")(?!{_IN_TERM})"))
     at = base.join(small(words, broadcast_rows), "doc_id").withColumn("found", located(lower_ascii(F.col("text")), rule))
     of = F.map_from_entries("kinds")
     at = at.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), F.transform("found", lambda s: F.struct(of[s["value"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("terms"))

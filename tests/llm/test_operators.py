@@ -143,6 +143,19 @@ def test_pii_rules_and_terms(spark):
     assert "[EMAIL]" in clean[6] and "Zorblax" not in clean[6] and clean[20] == texts[20]
 
 
+def test_pii_terms_attached_to_marks(spark):
+    """A term is found and counted wherever the search rule finds it, not only between spaces and ASCII stops."""
+    attached = ["<b>Zorblax</b> came", "“Zorblax” came", "zorblax/sales and Zorblax***", "#zorblax", "zorblax1", "Zorblax… came"]
+    texts = [f"please reach Zorblax at zed@corp.com {k} about" for k in ("red", "blue", "green")] + attached + ["zorblaxes came", "re-zorblax", "'zorblax'"]
+    rest = [f"the thing and the matter about {k} please" for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts + rest)), "doc_id long, text string")
+    for share in (0.3, 0.5):
+        got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.terms if s.value == "zorblax"] for r in pii.find_pii(docs, share=share).collect()}
+        for i, t in enumerate(texts):
+            # 3 of the 9 documents with the term have it beside an address: too few for a share of a half.
+            assert got[i] == [("broad", *m.span()) for m in re.finditer(r"(?<![a-z'-])zorblax(?![a-z'-])", t.lower()) if share == 0.3], (share, t)
+
+
 def test_packing_round_trip(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
