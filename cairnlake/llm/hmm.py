@@ -4,9 +4,11 @@ Corpus counts of all training words are added up on the cluster. An emission is
 the most frequent words are symbols of their own, all others share a bounded number of symbols by their last bytes, and
 within a symbol words have their share of the corpus counts. Every word never met in training counts as one symbol, whose probability in any
 state is that of a word met once (Good-Turing). So the model is a proper distribution over the training words and that
-symbol, as the base is. Latent states are first fitted to a bounded sample of texts; each Baum-Welch round then runs
-over the segments of all training texts, and the expected counts of all tasks are added up by (state, symbol). Scores
-come from the scaled forward recursion over each whole text, in double precision.
+symbol, as the base is. Latent states start from the corpus counts, tilted by fixed random factors. Each Baum-Welch round
+runs over the segments of all training texts, whatever their length and number; the expected counts of all tasks are
+added up by (state, symbol), until a round gains less than `settled` in natural log-likelihood a token. The words with
+symbols of their own grow as the square root of the number of distinct words, from `own_symbols` on. Scores come from
+the scaled forward recursion over each whole text, in double precision.
 
 If the distinct training words are more than `broadcast_words`, their counts are joined to blocks of documents instead.
 
@@ -16,6 +18,7 @@ Rows that repeat are scored (and counted) each.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +41,11 @@ def word_class(words: list[bytes]) -> np.ndarray:
     return np.fromiter(((w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7 + (len(w) > 6) * 257) % CLASSES for w in words), np.int32, len(words))
 
 
+def width(symbols: int) -> type:
+    """The type in which sequences of that many symbols are written."""
+    return np.uint16 if symbols <= 1 << 16 else np.uint32
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["hash", "class", "n"]
     for whole in batches:
@@ -87,7 +95,7 @@ def encode(vocabulary: Vocabulary, texts: list[bytes], cache: dict) -> list[tupl
     for words in split:
         c, s, share = zip(*map(cache.__getitem__, words), end)
         c = np.array(c, np.float64)
-        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 1).sum() - len(c) * norm), float(sum(share)), np.array(s, np.uint16).tobytes()))
+        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 1).sum() - len(c) * norm), float(sum(share)), np.array(s, width(vocabulary.symbols)).tobytes()))
     return out
 
 
@@ -106,12 +114,16 @@ class Model:
 
     def expect(self, texts: list[np.ndarray], length: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions over the texts, cut into segments of `length`."""
+        return self.expect_and_likelihood(texts, length)[:3]
+
+    def expect_and_likelihood(self, texts: list[np.ndarray], length: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """expect(), and the natural log-likelihood of the segments."""
         k, pieces, heads = len(self.start), [], []
         for t in texts:
             for at in range(0, len(t), length):
                 pieces.append(t[at : at + length])
                 heads.append(at == 0)
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
+        starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
         order = np.argsort([-len(p) for p in pieces], kind="stable")
         move, table = self.move.astype(np.float32), self.emit.astype(np.float32)
         for block in range(0, len(order), 2048):
@@ -128,7 +140,9 @@ class Model:
             for i in range(t):
                 n = live[i]
                 a = (a if i == 0 else a[:n] @ move) * e[i, :n]
-                a /= np.maximum(a.sum(axis=1, keepdims=True), 1e-37)
+                total = np.maximum(a.sum(axis=1, keepdims=True), 1e-37)
+                likelihood += float(np.log(total).sum(dtype=np.float64))
+                a /= total
                 alpha[i, :n] = a
             beta = np.ones((len(own), k), np.float32)
             gamma = np.zeros_like(alpha)
@@ -148,7 +162,7 @@ class Model:
             flat = grid.ravel()
             for s in range(k):
                 emits[:, s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(self.emit))
-        return starts, moves * self.move, emits
+        return starts, moves * self.move, emits, likelihood
 
     def renewed(self, starts, moves, emits, unknown: float, prior: np.ndarray) -> Model:
         """Model from expected counts; the last symbol, for unknown words, has a fixed share in every state."""
@@ -227,15 +241,17 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
     return pairs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(blockwise, ENCODED)
 
 
-def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held_fold: int = 2, states: int = 8, own_symbols: int = 4096, rounds: int = 2, sample_rows: int = 600, sample_rounds: int = 25, broadcast_words: int = 8_000_000, block_rows: int = 2000, seed: int = 1) -> DataFrame:
-    """One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The states are
-    started from sample_rows training texts, chosen by a hash of their ids; every round counts all training texts."""
+def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held_fold: int = 2, states: int = 8, own_symbols: int = 4096, rounds: int | None = None, settled: float = 1e-3, sample_rows: int = 0, sample_rounds: int = 0, broadcast_words: int = 8_000_000, block_rows: int = 2000, seed: int = 1) -> DataFrame:
+    """One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Every round counts
+    all training texts; without a number of rounds they go on until they settle. A start from sample_rows training texts
+    (chosen by a hash of their ids, sample_rounds rounds) has to be asked for."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(id_col, folds, held_fold).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counts = base.where("not held_out").select("text").mapInArrow(_count, "hash long, class int, n long").groupBy("hash", "class").agg(F.sum("n").alias("n"))
     counts = cut(counts, "words")
     sums = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first()
     tokens, distinct, once = sums[0] or 0, sums[1], sums[2]
-    first = counts.orderBy(F.desc("n"), "hash").limit(own_symbols).collect()  # own_symbols rows
+    own = max(own_symbols, 8 * math.isqrt(distinct))
+    first = counts.orderBy(F.desc("n"), "hash").limit(own).collect()  # as many rows as symbols
     first = [r for r in first if r["class"] != CLASSES]
     top = np.array([r["hash"] for r in first], np.int64).view(np.uint64)
     totals = np.zeros(CLASSES + 1)
@@ -251,34 +267,42 @@ def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     frequency /= frequency.sum()
     unknown = (once + 1) / (tokens + 2)
     learn = encoded.where("not held_out").select("doc_id", "symbols")
-    sample = learn.select("symbols", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.length("symbols") <= 20_000).orderBy("h", "doc_id").limit(sample_rows).collect()
-    texts = [np.frombuffer(r["symbols"], np.uint16) for r in sample]
+    kind = width(len(top) + CLASSES + 2)
     model = Model.first(states, frequency, seed)
-    for _ in range(sample_rounds if texts else 0):
-        model = model.renewed(*model.expect(texts), unknown, frequency * 200)
+    if sample_rows and sample_rounds:
+        sample = learn.select("symbols", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_rows).collect()
+        texts = [np.frombuffer(r["symbols"], kind) for r in sample]
+        for _ in range(sample_rounds if texts else 0):
+            model = model.renewed(*model.expect(texts), unknown, frequency * 200)
 
     def gather(model: Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
+            starts, moves, emits, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
             for whole in batches:
                 for at in range(0, whole.num_rows, 1000):
-                    got = model.expect([np.frombuffer(raw.as_py(), np.uint16) for raw in whole.slice(at, 1000).column(0)])
-                    starts, moves, emits = starts + got[0], moves + got[1], emits + got[2]
-            flat = np.concatenate([starts, moves.ravel(), emits.ravel()])
-            at = np.flatnonzero(flat > 1e-9)
+                    got = model.expect_and_likelihood([np.frombuffer(raw.as_py(), kind) for raw in whole.slice(at, 1000).column(0)])
+                    starts, moves, emits, likelihood = starts + got[0], moves + got[1], emits + got[2], likelihood + got[3]
+            flat = np.concatenate([starts, moves.ravel(), emits.ravel(), [likelihood]])
+            at = np.flatnonzero(np.abs(flat) > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.float64())], names=["at", "v"])
 
         return run
 
-    for _ in range(rounds):
+    before = -math.inf
+    for at in itertools.count():
+        if at == rounds:
+            break
         got = learn.select("symbols").mapInArrow(gather(model), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # at most a value for each parameter
-        flat = np.zeros(states + states**2 + model.emit.size)
+        flat = np.zeros(states + states**2 + model.emit.size + 1)
         flat[got["at"].to_numpy()] = got["v"].to_numpy()
-        model = model.renewed(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(model.emit.shape), unknown, frequency)
+        model = model.renewed(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 : -1].reshape(model.emit.shape), unknown, frequency)
+        if rounds is None and flat[-1] - before < settled * tokens:
+            break
+        before = flat[-1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = model.log10([np.frombuffer(raw.as_py(), np.uint16) for raw in batch.column(7)]) if batch.num_rows else []
+            got = model.log10([np.frombuffer(raw.as_py(), kind) for raw in batch.column(7)]) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(np.asarray(got) + np.asarray(batch.column(6)), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return encoded.select(*out, "word_score", "symbols").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

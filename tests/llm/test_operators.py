@@ -223,6 +223,17 @@ def test_hmm(docs, rows, broadcast_words):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and got[i].score < 0 and math.isfinite(got[i].score)
 
 
+@pytest.mark.parametrize("own_symbols,words", [(4096, 50), (1, 7)])
+def test_hmm_learns_from_long_texts_and_frequent_words(spark, own_symbols, words):
+    """Texts of more than 10,000 tokens, in runs of one of eight topics, whose words all end alike: what one word tells of
+    the next is learnt from the whole texts, and by words with symbols of their own."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{topic}x{rng.randrange(words):02}yy" for _ in range(600) for topic in [rng.randrange(8)] for _ in range(20)) for _ in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = hmm.score_hmm(docs, own_symbols=own_symbols).collect()
+    assert min((r.score - r.base_score) / r.n_tokens for r in got) > 0.7  # log10(8) is 0.9, less what a change every 20 words costs
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(2)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
