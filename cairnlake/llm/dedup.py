@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import SPACE, cut, small
+from cairnlake.llm.shared import SPACE, cut, small, tidy
 
 NO_ID = np.iinfo(np.int64).max
 ENTRIES = "doc_id long, entry long, rep_entry long, rep_id long, run_count long, run long, key binary, sha binary"
@@ -160,6 +160,7 @@ class Memtable:
 
 
 def _flusher(rows: int, size: int, key_bytes: int):
+    @tidy
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = Memtable(rows, size, key_bytes), TaskContext.get().partitionId()
         first, run = part << 36, part << 24

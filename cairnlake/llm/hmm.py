@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import WordHashes, cut, fold
+from cairnlake.llm.shared import WordHashes, cut, fold, tidy
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 CLASSES = 512
@@ -46,6 +46,7 @@ def width(symbols: int) -> type:
     return np.uint16 if symbols <= 1 << 16 else np.uint32
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["hash", "class", "n"]
     for whole in batches:
@@ -202,6 +203,7 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
         order = np.argsort(hashes)
         sent = base.sparkSession.sparkContext.broadcast((hashes[order], held["n"].to_numpy()[order].astype(np.uint32 if tokens < 1 << 32 else np.int64)))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, cache = Vocabulary(*sent.value, top, totals, tokens, distinct), {}
             for whole in batches:
@@ -214,6 +216,7 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
     blocks = base.count() // block_rows + 1
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
+    @tidy
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -276,6 +279,7 @@ def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             model = model.renewed(*model.expect(texts), unknown, frequency * 200)
 
     def gather(model: Model):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, moves, emits, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0
             for whole in batches:
@@ -300,6 +304,7 @@ def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             break
         before = flat[-1]
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = model.log10([np.frombuffer(raw.as_py(), kind) for raw in batch.column(7)]) if batch.num_rows else []

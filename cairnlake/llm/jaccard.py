@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
-from cairnlake.llm.shared import WordHashes, cut, forget, mix, small
+from cairnlake.llm.shared import WordHashes, cut, forget, mix, small, tidy
 
 ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, inner_bits array<long>, edge_tag int, edge array<long>, edge_bits array<long>"
 TILE = ("block", "tag", "left", "right")
@@ -103,6 +103,7 @@ def sketch(found: np.ndarray, tag: int, d: int, slack: int) -> tuple[np.ndarray,
 
 
 def _sketcher(width: int, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands = WordHashes(), Bands(percent)
         for whole in batches:
@@ -128,6 +129,7 @@ def _sketcher(width: int, percent: int):
 
 
 def _sets(width: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
@@ -179,6 +181,7 @@ def _meet(rows: pa.Table, percent: int, words: int = 1 << 22) -> tuple[np.ndarra
 def _tiles(percent: int):
     """The pairs of _meet for rows sorted by tile; a tile may go over several batches and is at most two chunks long."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in itertools.chain(batches, [None]):

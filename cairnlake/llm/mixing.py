@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import WORD, cut
+from cairnlake.llm.shared import cut, word_count
 
 #: Fixed values of the default mix: weights repeat over the sources, slopes too (falling, level, rising shares).
 WEIGHTS = (3, 1, 2)
@@ -54,7 +54,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stands, if there is one), sorted by position; and row_col (a number of the row, which settles the order of rows
     alike in id and size) where it is named."""
     number = [row_col] if row_col else []
-    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    size = word_count(F.col(text_col))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *number)
     base = cut(base.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
     # As many buckets as each has rows at most: neither the sums of a source's buckets nor a bucket outgrows a task.

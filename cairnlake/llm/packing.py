@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.shared import tidy
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -247,6 +249,7 @@ _TOKENS: dict[str, WordTokens] = {}
 
 
 def _packer(path: str, end: int, capacity: int, pool: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENS:
             _TOKENS[path] = WordTokens(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import cut, fold, small
+from cairnlake.llm.shared import cut, fold, small, tidy
 
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "bang": b"!?", "bar": b"|<>{}[]\\/=_~", "mark": b"#$%&*@^+", "stop": b".,;:", "line": b"\n"}
 _MASKS = np.zeros((len(_SETS) + 1, 256))
@@ -67,6 +67,7 @@ def statistics(raw: bytes | None) -> list[float]:
     ]
 
 
+@tidy
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -140,6 +141,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     train = rows.where("not held_out").join(known, "doc_id")
     d = len(STATISTICS)
 
+    @tidy
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
@@ -162,6 +164,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = Discriminant.fit(counts, total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
 
     def scorer(how: str):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.array(batch.column(1).flatten()).reshape(-1, d)

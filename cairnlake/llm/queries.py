@@ -41,14 +41,14 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairnlake.llm.pii import RULES, find_pii, written
+    from cairnlake.llm.pii import KINDS, RULES, find_pii, written
 
     found = find_pii(_table(spark, sf_dir, "documents"))
     join = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), ",")
     base = join(*map(written, RULES))
     terms = F.array_join(F.transform(F.array_sort("terms"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in RULES]
-    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), join(*map(written, RULES), terms).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), join(*map(written, KINDS), terms).alias("spans"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +39,64 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    fs, at = _stored(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    for made in _WATCHED:
+        made.append(path)
     return out
 
 
+def _stored(spark: SparkSession, path: str):
+    """The file system and the path in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete what cut() wrote for these; nothing that is still to be computed may depend on them."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _stored(df.sparkSession, df.cut_path)
+        fs.delete(at, True)
+
+
+#: Lists of watched() that are open.
+_WATCHED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def watched(spark: SparkSession):
+    """Deletes at its end what cut() has written meanwhile, but for the tables that the caller names in the list it gets."""
+    made, kept = [], []
+    _WATCHED.append(made)
+    try:
+        yield kept
+    finally:
+        _WATCHED[:] = [x for x in _WATCHED if x is not made]
+        for path in made:
+            if path not in {df.cut_path for df in kept}:
+                fs, at = _stored(spark, path)
+                fs.delete(at, True)
+
+
+def release() -> None:
+    """Give free memory back to the system: Spark keeps idle Python workers beside the memory of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """An Arrow function over batches that releases the worker's memory when it ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -55,6 +109,12 @@ def fold(column: str, divisor: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor == rest, F.lit(False))
 
 
+def word_count(text: Column) -> Column:
+    """Number of words; one character stands for each, so that no list of words is made."""
+    plain = F.rtrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.length(F.regexp_replace(plain, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "w")).cast("long")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

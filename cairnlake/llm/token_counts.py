@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.shared import tidy
+
 MARK = "▁"
 ROWS = "doc_id long, n_words long, n_tokens long"
 
@@ -84,6 +86,7 @@ _MODELS: dict[str, Unigram] = {}
 
 
 def _counter(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _MODELS:
             _MODELS[path] = Unigram.load(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.quality import logistic, training_labels
-from cairnlake.llm.shared import cut, fold, small
+from cairnlake.llm.shared import cut, fold, small, tidy
 
 _F = np.float32
 _SIZES = (3, 4, 5)
@@ -308,6 +308,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         slope, shift = logistic(logit[left], weight * (y[left] == 1), weight * (y[left] == 0))
     key = uuid.uuid4().hex
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
