@@ -14,7 +14,10 @@ from cairnlake.llm.jaccard import jaccard_components
 from cairnlake.llm.mixing import mix_sources
 from cairnlake.llm.packing import pack
 from cairnlake.llm.quality import score_quality
-from cairnlake.llm.shared import cut
+from cairnlake.llm.shared import cut, forget, small, watched
+
+#: Most rows of ids or positions that are sent to every executor; they are counted first, and joins shuffle beyond that.
+BROADCAST_ROWS = 2_000_000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -49,7 +52,7 @@ def _first(groups: DataFrame, ids: DataFrame | None) -> DataFrame:
 
 def _kept(docs: DataFrame, numbered: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows with those numbers, with the columns of docs."""
-    return numbered.join(rows.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(small(cut(rows.select("_row"), "kept"), BROADCAST_ROWS), "_row", "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +86,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.col("taken") - F.when(F.col("again").isNotNull(), F.col("size")).otherwise(0)
     times = F.array(F.struct(F.col("position"), F.when(F.col("again").isNotNull(), F.col("size")).otherwise(F.col("taken")).alias("words")), F.struct(F.col("again").alias("position"), words.alias("words")))
     rows = mixed.select("_row", "size", F.explode(times).alias("t")).where("t.position is not null").select("_row", "size", "t.position", "t.words")
-    out = numbered.join(rows.withColumnsRenamed({"words": "_words", "size": "_size", "position": "_position"}), "_row")
+    rows = cut(rows.withColumnsRenamed({"words": "_words", "size": "_size", "position": "_position"}), "mix")
+    out = numbered.join(small(rows, BROADCAST_ROWS), "_row")
     out = out.withColumn("text", F.expr("case when _words < _size then array_join(slice(regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_words as int)), '') else text end"))
     return out.orderBy("_position", "doc_id", "_row").select(*docs.columns)
 
@@ -102,9 +106,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage{k}")
-    return docs
+    """All stages. What a stage has written on the way goes as soon as its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with watched(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+            kept.append(docs)
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
