@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cairnlake.llm.shared import cut
+from cairnlake.llm.shared import bound_batches, cut, tidy
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -135,6 +135,7 @@ def _matrix(column) -> np.ndarray:
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 50, k: int = 5, levels: int = 6, probes: int = 46, sample_rows: int = 4096, cell_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by `every`. The index is fitted on at most
     sample_rows rows, chosen by a hash of their ids, and holds all rows."""
+    bound_batches(vectors.sparkSession)
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     raw = raw.where(finite & F.exists("v", lambda x: x != 0))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import SPACE, cut, small, tidy
+from cairnlake.llm.shared import SPACE, bound_batches, cut, small, tidy
 
 NO_ID = np.iinfo(np.int64).max
 ENTRIES = "doc_id long, entry long, rep_entry long, rep_id long, run_count long, run long, key binary, sha binary"
@@ -200,6 +200,7 @@ def _shard(width: int):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, memtable_rows: int = 50_000, memtable_bytes: int = 48 << 20, key_bytes: int = 32, shard_rows: int = 200_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. key_bytes shortens the index's digests
     (collisions are then settled by the bytes)."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     entries = cut(base.select("doc_id", F.col("text").cast("binary")).mapInArrow(_flusher(memtable_rows, memtable_bytes, key_bytes), ENTRIES), "runs")
     reps = entries.where("entry = rep_entry")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
-from cairnlake.llm.shared import WordHashes, cut, forget, mix, small, tidy
+from cairnlake.llm.shared import WordHashes, bound_batches, cut, forget, mix, small, tidy
 
 ROWS = "doc_id long, n_shingles long, hi long, lo long, inner_tag int, inner array<long>, inner_bits array<long>, edge_tag int, edge array<long>, edge_bits array<long>"
 TILE = ("block", "tag", "left", "right")
@@ -227,6 +227,7 @@ def _linked(base: DataFrame, pairs: DataFrame, width: int, percent: int, broadca
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tile: int = 2048, broadcast_rows: int = 2_000_000, block_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(base.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketcher(width, percent), ROWS), "sketches")
     first = rows.where("inner_tag is not null or n_shingles = 0")

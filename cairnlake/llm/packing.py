@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import tidy
+from cairnlake.llm.shared import Numbered, bound_batches, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,26 +38,6 @@ _PLAIN = re.compile(f"[!-@\\[-~{_LETTERS}]+")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+|\n")
 
 
-class Numbered(dict):
-    """Numbers words in the order of their first use; `new` lists those that were added last."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, word) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-    def of(self, words: Iterable, count: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, count)
-
-    def taken(self) -> list:
-        out, self.new = self.new, []
-        return out
-
-
 class Runs:
     """Runs of ids by number, one behind the other."""
 
@@ -89,7 +69,7 @@ class WordTokens:
     across white space. Distinct words are encoded once and kept, up to `limit` of them, and so are the distinct parts
     of plain words; other words go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
@@ -269,5 +249,6 @@ def _packer(path: str, end: int, capacity: int, pool: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end: int = 2, capacity: int = 4096, pool: int = 1500) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return base.mapInArrow(_packer(tokenizer_path, end, capacity, pool), PIECES)

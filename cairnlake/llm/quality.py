@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import cut, fold, small, tidy
+from cairnlake.llm.shared import bound_batches, cut, fold, small, tidy
 
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "bang": b"!?", "bar": b"|<>{}[]\\/=_~", "mark": b"#$%&*@^+", "stop": b".,;:", "line": b"\n"}
 _MASKS = np.zeros((len(_SETS) + 1, 256))
@@ -135,6 +135,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row for each row: doc_id, held_out, score, predicted, and row_col (a number of the row) where it is named."""
     own = [row_col] if row_col else []
     kept = "".join(f", `{c}` long" for c in own)
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *own)
     rows = cut(base.mapInArrow(_statistics, f"doc_id long{kept}, x array<double>"), "statistics").withColumn("held_out", fold("doc_id", folds, held_fold))
     known = small(cut(training_labels(labels, label_col), "labels"), broadcast_rows)

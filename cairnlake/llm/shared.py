@@ -8,6 +8,7 @@ import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,16 @@ def watched(spark: SparkSession):
                 fs.delete(at, True)
 
 
+#: Bytes of one batch between the JVM and Python, so that the buffers of both stay small whatever the length of texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the batches of Arrow functions in bytes; a bound that the session sets itself stays."""
+    if spark.conf.get(BATCH, None) == "67108864b":  # the default
+        spark.conf.set(BATCH, size)
+
+
 def release() -> None:
     """Give free memory back to the system: Spark keeps idle Python workers beside the memory of later stages."""
     gc.collect()
@@ -119,6 +130,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class Numbered(dict):
+    """Numbers words in the order of their first use; `new` lists those that were added last."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def of(self, words: Iterable, count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, count)
+
+    def taken(self) -> list:
+        out, self.new = self.new, []
+        return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the most recent `limit` distinct ones."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import tidy
+from cairnlake.llm.shared import bound_batches, tidy
 
 MARK = "▁"
 ROWS = "doc_id long, n_words long, n_tokens long"
@@ -102,5 +102,6 @@ def _counter(path: str):
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_words, n_tokens."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return base.mapInArrow(_counter(vocabulary_path), ROWS)

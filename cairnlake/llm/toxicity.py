@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.quality import logistic, training_labels
-from cairnlake.llm.shared import cut, fold, small, tidy
+from cairnlake.llm.shared import bound_batches, cut, fold, small, tidy
 
 _F = np.float32
 _SIZES = (3, 4, 5)
@@ -286,6 +286,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 48, stride: int = 32, epochs: int = 2, sample_rows: int = 1000, sample_bytes: int = 20_000, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     known = cut(training_labels(labels, label_col).where(~fold("doc_id", folds, held_fold)), "labels")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
