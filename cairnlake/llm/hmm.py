@@ -22,6 +22,7 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import WordHashes, cut, fold, tidy
+from cairnlake.llm.shared import Numbered, WordHashes, bound_batches, cut, fold, tidy
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
 CLASSES = 512
@@ -46,17 +47,30 @@ def width(symbols: int) -> type:
     return np.uint16 if symbols <= 1 << 16 else np.uint32
 
 
+#: Most distinct words that a task counts before it writes their counts.
+COUNTED = 200_000
+
+
 @tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["hash", "class", "n"]
+    seen: Counter = Counter()
+    texts = 0
+
+    def written() -> pa.RecordBatch:
+        hashes = [xxhash.xxh3_64_intdigest(w) for w in seen] + [END]
+        arrays = np.array(hashes, np.uint64).view(np.int64), np.append(word_class(list(seen)), CLASSES), np.array([*seen.values(), texts])
+        return pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int64()), pa.array(arrays[1], pa.int32()), pa.array(arrays[2], pa.int64())], names=["hash", "class", "n"])
+
     for whole in batches:
-        seen: Counter = Counter()
         for raw in whole.column(0):
             seen.update((raw.as_py() or b"").lower().split())
-        words = list(seen)
-        hashes = [xxhash.xxh3_64_intdigest(w) for w in words] + [END]
-        arrays = np.array(hashes, np.uint64).view(np.int64), np.append(word_class(words), CLASSES), np.array([*seen.values(), whole.num_rows])
-        yield pa.RecordBatch.from_arrays([pa.array(arrays[0], pa.int64()), pa.array(arrays[1], pa.int32()), pa.array(arrays[2], pa.int64())], names=names)
+            texts += 1
+            if len(seen) >= COUNTED:
+                yield written()
+                seen.clear()
+                texts = 0
+    if texts:
+        yield written()
 
 
 class Vocabulary:
@@ -82,22 +96,42 @@ class Vocabulary:
         return c, symbol, np.log10(share)
 
 
-def encode(vocabulary: Vocabulary, texts: list[bytes], cache: dict) -> list[tuple]:
-    """(tokens, known, base score, word score, symbols) of each text. cache: word -> (count, symbol, log10 share)."""
-    split = [t.lower().split() for t in texts]
-    if len(cache) > 250_000:
-        cache.clear()
-    new = list(dict.fromkeys(w for words in split for w in words if w not in cache))
-    if new:
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
-        cache.update(zip(new, zip(*(x.tolist() for x in vocabulary.look(h, word_class(new))))))
-    end = tuple(x[0] for x in vocabulary.look(np.array([END], np.uint64), np.array([CLASSES])))
-    out, norm = [], math.log10(vocabulary.tokens + vocabulary.distinct + 1)
-    for words in split:
-        c, s, share = zip(*map(cache.__getitem__, words), end)
-        c = np.array(c, np.float64)
-        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 1).sum() - len(c) * norm), float(sum(share)), np.array(s, width(vocabulary.symbols)).tobytes()))
-    return out
+class Encoder:
+    """Encodes texts by a vocabulary; what it says of the words met so far, up to about `limit`, is kept by their number.
+    The end is number 0."""
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
+        self.vocabulary, self.limit = vocabulary, limit
+        self.norm = math.log10(vocabulary.tokens + vocabulary.distinct + 1)
+        self.reset()
+
+    def reset(self) -> None:
+        self.words = Numbered()
+        self.words[None] = 0
+        self.known, self.gain, self.symbol, self.share = (np.zeros(0, t) for t in (bool, float, width(self.vocabulary.symbols), float))
+        self._add(np.array([END], np.uint64), np.array([CLASSES]))
+
+    def _add(self, hashes: np.ndarray, classes: np.ndarray) -> None:
+        c, symbol, share = self.vocabulary.look(hashes, classes)
+        new = (c > 0, np.log10(c + 1.0), symbol.astype(self.symbol.dtype), share)
+        self.known, self.gain, self.symbol, self.share = (np.concatenate(x) for x in zip((self.known, self.gain, self.symbol, self.share), new))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Tokens, known tokens, base score and word score of each text, and its symbols."""
+        if len(self.words) > self.limit:
+            self.reset()
+        split = [[*t.lower().split(), None] for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        if not len(n):
+            return n, n, np.zeros(0), np.zeros(0), []
+        at = self.words.of(chain.from_iterable(split), int(n.sum()))
+        new = self.words.taken()
+        if new:
+            self._add(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)), word_class(new))
+        first = np.cumsum(n) - n
+        total = lambda x: np.add.reduceat(x[at], first)
+        symbols = [x.tobytes() for x in np.split(self.symbol[at], first[1:])]
+        return n, np.add.reduceat(self.known[at], first, dtype=np.int64), total(self.gain) - n * self.norm, total(self.share), symbols
 
 
 class Model:
@@ -119,50 +153,49 @@ class Model:
 
     def expect_and_likelihood(self, texts: list[np.ndarray], length: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """expect(), and the natural log-likelihood of the segments."""
-        k, pieces, heads = len(self.start), [], []
-        for t in texts:
-            for at in range(0, len(t), length):
-                pieces.append(t[at : at + length])
-                heads.append(at == 0)
+        k = len(self.start)
         starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
-        order = np.argsort([-len(p) for p in pieces], kind="stable")
-        move, table = self.move.astype(np.float32), self.emit.astype(np.float32)
+        if not texts:
+            return starts, moves, emits, likelihood
+        flat = np.concatenate(texts)
+        whole = np.fromiter(map(len, texts), np.int64, len(texts))
+        n = -(-whole // length)
+        text = np.repeat(np.arange(len(texts)), n)
+        past = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * length
+        first, size = (np.cumsum(whole) - whole)[text] + past, np.minimum(length, whole[text] - past)
+        order = np.argsort(-size, kind="stable")
+        move, table = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T, np.float32)
+        # States come first in every array, so that each step works on whole rows of segments.
         for block in range(0, len(order), 2048):
             own = order[block : block + 2048]
-            sizes = np.array([len(pieces[i]) for i in own])
-            head = np.array([heads[i] for i in own])
-            t = sizes[0]
-            grid = np.zeros((t, len(own)), np.int64)
-            for j, i in enumerate(own):
-                grid[: sizes[j], j] = pieces[i]
-            live = [int((sizes > i).sum()) for i in range(t)]
-            alpha, e = np.zeros((t, len(own), k), np.float32), table[grid]
-            a = np.where(head[:, None], self.start, 1 / k).astype(np.float32)
-            for i in range(t):
-                n = live[i]
-                a = (a if i == 0 else a[:n] @ move) * e[i, :n]
-                total = np.maximum(a.sum(axis=1, keepdims=True), 1e-37)
+            head, t = past[own] == 0, int(size[own[0]])
+            grid = flat[np.minimum(first[own] + np.arange(t)[:, None], len(flat) - 1)]
+            live = np.searchsorted(-size[own], -np.arange(t), side="left")
+            e, alpha, gamma = table[:, grid], np.empty((t, k, len(own)), np.float32), np.zeros((k, t, len(own)), np.float32)
+            a = np.where(head, self.start[:, None], 1 / k).astype(np.float32)
+            for i, m in enumerate(live):
+                a = (a if i == 0 else move.T @ a[:, :m]) * e[:, i, :m]
+                total = np.maximum(a.sum(axis=0), 1e-37)
                 likelihood += float(np.log(total).sum(dtype=np.float64))
                 a /= total
-                alpha[i, :n] = a
-            beta = np.ones((len(own), k), np.float32)
-            gamma = np.zeros_like(alpha)
+                alpha[i, :, :m] = a
+            beta = np.ones((k, live[-1]), np.float32)
             for i in range(t - 1, -1, -1):
-                n = live[i]
-                if i + 1 < t and live[i + 1]:
-                    m = live[i + 1]
-                    after = e[i + 1, :m] * beta[:m]
-                    back = after @ move.T
-                    scale = np.maximum((alpha[i, :m] * back).sum(axis=1, keepdims=True), 1e-37)
-                    moves += (alpha[i, :m] / scale).T @ after
-                    beta[:m] = back / scale
-                g = alpha[i, :n] * beta[:n]
-                gamma[i, :n] = g / np.maximum(g.sum(axis=1, keepdims=True), 1e-37)
-            moves_here = gamma[0][head].sum(axis=0)
-            starts += moves_here
-            flat = grid.ravel()
+                m = live[i]
+                if i + 1 < t:
+                    q = live[i + 1]
+                    after = e[:, i + 1, :q] * beta
+                    back = move @ after
+                    scale = np.maximum((alpha[i, :, :q] * back).sum(axis=0), 1e-37)
+                    moves += (alpha[i, :, :q] / scale) @ after.T
+                    beta = np.ones((k, m), np.float32)
+                    np.divide(back, scale, out=beta[:, :q])
+                g = alpha[i, :, :m] * beta
+                np.divide(g, np.maximum(g.sum(axis=0), 1e-37), out=gamma[:, i, :m])
+            starts += gamma[:, 0, head].sum(axis=1)
+            at = grid.ravel()
             for s in range(k):
-                emits[:, s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(self.emit))
+                emits[:, s] += np.bincount(at, weights=gamma[s].ravel(), minlength=len(self.emit))
         return starts, moves * self.move, emits, likelihood
 
     def renewed(self, starts, moves, emits, unknown: float, prior: np.ndarray) -> Model:
@@ -176,13 +209,14 @@ class Model:
         """Exact log10 likelihood of each whole sequence by the scaled forward recursion."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-sizes, kind="stable")
-        flat, first = np.concatenate(texts).astype(np.int64), np.cumsum(sizes) - sizes
+        flat, first = np.concatenate(texts), np.cumsum(sizes) - sizes
         first, left, total = first[order], sizes[order], np.zeros(len(texts))
-        a, live = np.tile(self.start, (len(texts), 1)), np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), side="left")
+        move, emit = np.ascontiguousarray(self.move.T), np.ascontiguousarray(self.emit.T)
+        a, live = np.repeat(self.start[:, None], len(texts), axis=1), np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), side="left")
         for i, n in enumerate(live):
-            a = (a if i == 0 else a[:n] @ self.move) * self.emit[flat[first[:n] + i]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
+            a = (a if i == 0 else move @ a[:, :n]) * emit[:, flat[first[:n] + i]]
+            s = a.sum(axis=0)
+            a /= s
             total[:n] += np.log(s)
         out = np.empty(len(texts))
         out[order] = total / math.log(10)
@@ -192,9 +226,9 @@ class Model:
 def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, distinct: int, broadcast_words: int, block_rows: int) -> DataFrame:
     names = [x.split()[0] for x in ENCODED.split(", ")]
 
-    def rows(vocabulary: Vocabulary, batch, cache: dict) -> pa.RecordBatch:
-        got = encode(vocabulary, [raw.as_py() or b"" for raw in batch.column(2)], cache)
-        columns = [pa.array(c, t) for c, t in zip(zip(*got) if got else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+    def rows(encoder: Encoder, batch) -> pa.RecordBatch:
+        got = encoder.encode([raw.as_py() or b"" for raw in batch.column(2)])
+        columns = [pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     if distinct <= broadcast_words:
@@ -205,10 +239,10 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, cache = Vocabulary(*sent.value, top, totals, tokens, distinct), {}
+            encoder = Encoder(Vocabulary(*sent.value, top, totals, tokens, distinct))
             for whole in batches:
                 for at in range(0, whole.num_rows, 500):
-                    yield rows(vocabulary, whole.slice(at, 500), cache)
+                    yield rows(encoder, whole.slice(at, 500))
 
         return base.mapInArrow(run, ENCODED)
 
@@ -235,8 +269,8 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
         hashes, n = words["hash"].to_numpy().view(np.uint64), words["n"].to_numpy()
         hashes, n = np.append(hashes, end), np.append(n, end_count)
         order = np.argsort(hashes)
-        vocabulary = Vocabulary(hashes[order], n[order], top, totals, tokens, distinct)
-        return pa.Table.from_batches([rows(vocabulary, b, {}) for b in docs.select(["doc_id", "held_out", "text"]).to_batches()], schema=empty)
+        encoder = Encoder(Vocabulary(hashes[order], n[order], top, totals, tokens, distinct))
+        return pa.Table.from_batches([rows(encoder, b) for b in docs.select(["doc_id", "held_out", "text"]).to_batches()], schema=empty)
 
     found = counts.where(F.col("hash") == int(end.view(np.int64)[0])).select("n").collect()
     end_count = found[0]["n"] if found else 0
@@ -248,6 +282,7 @@ def score_hmm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Every round counts
     all training texts; without a number of rounds they go on until they settle. A start from sample_rows training texts
     (chosen by a hash of their ids, sample_rounds rounds) has to be asked for."""
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(id_col, folds, held_fold).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counts = base.where("not held_out").select("text").mapInArrow(_count, "hash long, class int, n long").groupBy("hash", "class").agg(F.sum("n").alias("n"))
     counts = cut(counts, "words")
