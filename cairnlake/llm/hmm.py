@@ -48,7 +48,7 @@ def width(symbols: int) -> type:
 
 
 #: Most distinct words that a task counts before it writes their counts.
-COUNTED = 200_000
+COUNTED = 500_000
 
 
 @tidy
@@ -74,33 +74,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Counts of words by sorted hash, and the symbols of words. top: hashes that are symbols of their own."""
+    """Counts and classes of words by sorted hash, and their symbols. top: hashes that are symbols of their own."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, top: np.ndarray, class_totals: np.ndarray, tokens: int, distinct: int):
-        self.hashes, self.counts, self.class_totals, self.tokens, self.distinct = hashes, counts, class_totals, tokens, distinct
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, top: np.ndarray, class_totals: np.ndarray, tokens: int, distinct: int):
+        self.hashes, self.counts, self.classes, self.class_totals, self.tokens, self.distinct = hashes, counts, classes, class_totals, tokens, distinct
         self.order = np.argsort(top)
         self.top = top[self.order]
         self.unknown = len(top) + CLASSES + 1
         self.symbols = self.unknown + 1
 
-    def look(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count, symbol and log10 P(word | symbol)."""
-        find = lambda where: np.minimum(np.searchsorted(where, hashes), max(0, len(where) - 1))
-        at = find(self.hashes)
-        c = np.where(self.hashes[at] == hashes, self.counts[at], 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
-        t = find(self.top)
-        own = (self.top[t] == hashes) if len(self.top) else np.zeros(len(hashes), bool)
-        symbol = np.where(own, self.order[t] if len(self.top) else 0, len(self.top) + classes)
-        symbol = np.where(c == 0, self.unknown, symbol)
-        share = np.where(own | (c == 0), 1.0, np.maximum(c, 1) / np.maximum(self.class_totals[classes], 1))
-        return c, symbol, np.log10(share)
+        c, symbol, share = np.zeros(len(hashes), np.int64), np.full(len(hashes), self.unknown), np.zeros(len(hashes))
+        if len(self.hashes):
+            order = np.argsort(hashes)  # neighbours are then looked up near each other
+            at = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+            met = (self.hashes[at] == hashes[order]) & (self.counts[at] > 0)
+            at, to = at[met], order[met]
+            c[to], classes = self.counts[at], self.classes[at]
+            t = np.minimum(np.searchsorted(self.top, self.hashes[at]), max(0, len(self.top) - 1))
+            own = self.top[t] == self.hashes[at] if len(self.top) else np.zeros(len(at), bool)
+            symbol[to] = np.where(own, self.order[t] if len(self.top) else 0, len(self.top) + classes)
+            share[to] = np.where(own, 0.0, np.log10(c[to] / np.maximum(self.class_totals[classes], 1)))
+        return c, symbol, share
 
 
 class Encoder:
     """Encodes texts by a vocabulary; what it says of the words met so far, up to about `limit`, is kept by their number.
     The end is number 0."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 500_000):
         self.vocabulary, self.limit = vocabulary, limit
         self.norm = math.log10(vocabulary.tokens + vocabulary.distinct + 1)
         self.reset()
@@ -109,10 +112,10 @@ class Encoder:
         self.words = Numbered()
         self.words[None] = 0
         self.known, self.gain, self.symbol, self.share = (np.zeros(0, t) for t in (bool, float, width(self.vocabulary.symbols), float))
-        self._add(np.array([END], np.uint64), np.array([CLASSES]))
+        self._add(np.array([END], np.uint64))
 
-    def _add(self, hashes: np.ndarray, classes: np.ndarray) -> None:
-        c, symbol, share = self.vocabulary.look(hashes, classes)
+    def _add(self, hashes: np.ndarray) -> None:
+        c, symbol, share = self.vocabulary.look(hashes)
         new = (c > 0, np.log10(c + 1.0), symbol.astype(self.symbol.dtype), share)
         self.known, self.gain, self.symbol, self.share = (np.concatenate(x) for x in zip((self.known, self.gain, self.symbol, self.share), new))
 
@@ -127,7 +130,7 @@ class Encoder:
         at = self.words.of(chain.from_iterable(split), int(n.sum()))
         new = self.words.taken()
         if new:
-            self._add(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)), word_class(new))
+            self._add(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
         first = np.cumsum(n) - n
         total = lambda x: np.add.reduceat(x[at], first)
         symbols = [x.tobytes() for x in np.split(self.symbol[at], first[1:])]
@@ -232,10 +235,10 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     if distinct <= broadcast_words:
-        held = counts.select("hash", "n").toArrow()  # at most broadcast_words rows of 16 bytes
+        held = counts.select("hash", "n", "class").toArrow()  # at most broadcast_words rows of 20 bytes
         hashes = held["hash"].to_numpy().view(np.uint64)
         order = np.argsort(hashes)
-        sent = base.sparkSession.sparkContext.broadcast((hashes[order], held["n"].to_numpy()[order].astype(np.uint32 if tokens < 1 << 32 else np.int64)))
+        sent = base.sparkSession.sparkContext.broadcast((hashes[order], held["n"].to_numpy()[order].astype(np.uint32 if tokens < 1 << 32 else np.int64), held["class"].to_numpy()[order].astype(np.int16)))
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +265,14 @@ def _encoded(base: DataFrame, counts: DataFrame, top, totals, tokens: int, disti
             pair = np.unique(np.stack([np.concatenate(at), np.concatenate(own).view(np.int64)]), axis=1) if at else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["block", "hash"])
 
-    pairs = dealt.select("block", "text").mapInArrow(asked, "block long, hash long").distinct().join(counts.select("hash", "n"), "hash")
+    pairs = dealt.select("block", "text").mapInArrow(asked, "block long, hash long").distinct().join(counts.select("hash", "n", "class"), "hash")
     end = np.array([END], np.uint64)
 
     def blockwise(words: pa.Table, docs: pa.Table) -> pa.Table:
-        hashes, n = words["hash"].to_numpy().view(np.uint64), words["n"].to_numpy()
-        hashes, n = np.append(hashes, end), np.append(n, end_count)
+        hashes, n, classes = words["hash"].to_numpy().view(np.uint64), words["n"].to_numpy(), words["class"].to_numpy()
+        hashes, n, classes = np.append(hashes, end), np.append(n, end_count), np.append(classes, CLASSES)
         order = np.argsort(hashes)
-        encoder = Encoder(Vocabulary(hashes[order], n[order], top, totals, tokens, distinct))
+        encoder = Encoder(Vocabulary(hashes[order], n[order], classes[order], top, totals, tokens, distinct))
         return pa.Table.from_batches([rows(encoder, b) for b in docs.select(["doc_id", "held_out", "text"]).to_batches()], schema=empty)
 
     found = counts.where(F.col("hash") == int(end.view(np.int64)[0])).select("n").collect()
