@@ -112,18 +112,30 @@ class Discriminant:
 
 
 def logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through counted values, by Newton steps with a light prior on the slope."""
+    """Slope and shift of the logistic curve through counted values, by Newton steps that are halved until they gain. Each
+    class aims a little short of certainty, so that the curve is finite where the classes are apart."""
+    n = ones + zeros
+    up = ones * (ones.sum() + 1) / (ones.sum() + 2) + zeros / (zeros.sum() + 2)
     scale = max(1.0, float(np.abs(x).max()))
-    u, a, b = x / scale, 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
-        n = ones + zeros
-        g = np.array([((ones - n * p) * u).sum() - 0.01 * a, (ones - n * p).sum() - 0.01 * b])
-        w = n * p * (1 - p) + 1e-9
-        h = np.array([[(w * u * u).sum() + 0.01, (w * u).sum()], [(w * u).sum(), w.sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -5, 5)
-        a, b = a + step[0], b + step[1]
-    return a / scale, b
+    u, at = x / scale, np.zeros(2)
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * u + at[1]
+        return float((n * np.logaddexp(0, z) - up * z).sum()) + 0.005 * at[0] ** 2
+
+    now = loss(at)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * u + at[1], -500, 500)))
+        g = np.array([((up - n * p) * u).sum() - 0.01 * at[0], (up - n * p).sum()])
+        w = n * p * (1 - p)
+        h = np.array([[(w * u * u).sum() + 0.01, (w * u).sum()], [(w * u).sum(), w.sum() + 1e-6]])
+        step = np.linalg.solve(h, g)
+        while (then := loss(at + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - then < 1e-9:
+            break
+        at, now = at + step, then
+    return at[0] / scale, at[1]
 
 
 def training_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:

@@ -2,12 +2,13 @@
 
 A word enters as its own embedding (if frequent in the sample) beside the sum of the embeddings of its character
 n-grams, so that unseen forms of a stem are read too. The first channel of both starts from the log odds of a word or
-n-gram in the labelled sample. A window's states of both directions are pooled by attention into one logit. All
+n-gram in the labelled sample; beside them stands the largest of the word's n-grams, as it is. A window's states of both directions are pooled by attention into one logit. All
 overlapping windows of a whole text are scored, and the largest logit is the text's, in training as well: the gradient
 goes through that window of each text.
 
-The labelled sample is bounded: at most `sample_rows` rows of each class, chosen by a hash of their ids among the
-training folds, of texts up to `sample_bytes`. Nothing else is bounded.
+The labelled sample is bounded: at most `sample_rows` rows of each class, in the order of a hash of their ids among the
+training folds, and no more of them than the whole texts of which have `sample_bytes` together. A fifth of it is left out
+of training: the network that does best on it is kept, and its scores are calibrated on it. Nothing else is bounded.
 
 Defined cases: null and empty texts are one window of padding. Without both classes every score is 0. Rows that repeat
 are scored each; of several labels of a document the largest counts.
@@ -15,6 +16,7 @@ are scored each; of several labels of a document the largest counts.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.quality import logistic, training_labels
-from cairnlake.llm.shared import bound_batches, cut, fold, small, tidy
+from cairnlake.llm.shared import bound_batches, cut, fold, tidy
 
 _F = np.float32
-_SIZES = (3, 4, 5)
+_SIZES = (3, 4, 5, 6)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,7 +79,8 @@ class BiGru:
         self.index, self.buckets, self.width, self.hidden = {w: i + 1 for i, w in enumerate(vocabulary)}, buckets, width, hidden
         self.words, self.grams = n(len(vocabulary) + 1, width, by=0.1), n(len(_SIZES) * buckets, width, by=0.05)
         self.words[0] = 0
-        d = 2 * width
+        self.odds = np.zeros(len(_SIZES) * buckets, _F)
+        d = 2 * width + 1
         self.p = {"w": n(2, d, 3 * hidden, by=0.3), "b": np.zeros((2, 1, 3 * hidden), _F), "u": n(2, hidden, 3 * hidden, by=0.3), "v": n(2 * hidden, by=0.3), "o": n(2 * hidden, by=0.5), "c": np.zeros(1, _F)}
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
@@ -86,8 +89,10 @@ class BiGru:
         at, starts = ngrams(words, self.buckets)
         n = np.diff(np.append(starts, len(at)))
         by = (1 / np.sqrt(np.maximum(n, 1)))[:, None].astype(_F)
-        chars = np.add.reduceat(self.grams[at], starts, axis=0) * by if len(words) else np.zeros((0, self.width), _F)
-        return np.concatenate([self.words[own], chars], axis=1), (own, at, n, by)
+        if not len(words):
+            return np.zeros((0, 2 * self.width + 1), _F), (own, at, n, by)
+        chars = np.add.reduceat(self.grams[at], starts, axis=0) * by
+        return np.concatenate([self.words[own], chars, np.maximum.reduceat(self.odds[at], starts)[:, None]], axis=1), (own, at, n, by)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Input parts of the gates of both directions, (2, rows, 3 * hidden)."""
@@ -156,8 +161,16 @@ def _grid(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, text: np.nda
     return np.where(at < lengths[text, None], flat[np.minimum(first[text, None] + at, len(flat) - 1)], 0)
 
 
-def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int, seed: int = 3) -> tuple[BiGru, np.ndarray]:
-    """The network, and the logits that the last fifth of the texts (left out of training) have by it, else nan."""
+def log_loss(logit: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -logit, logit)).mean())
+
+
+def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int, patience: int = 2, seed: int = 3) -> tuple[BiGru, np.ndarray]:
+    """The network, and the logits that the last fifth of the texts (left out of training) have by it, else nan.
+
+    All windows of all texts are gone through anew in the first two epochs and in every third one; between these a text
+    is trained by the window found last. After each such epoch the texts left out are scored: the best network so far is
+    kept, and training ends when `patience` more of them have not improved on it, or after `epochs`."""
     rng = np.random.default_rng(seed)
     split = [t.lower().split() for t in texts]
     fit = np.arange(len(texts)) < max(2, len(texts) * 4 // 5)
@@ -168,18 +181,18 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
             for w in set(words):
                 seen.setdefault(w, [0, 0])[label] += 1
     odds = {w: np.log((a[1] + 0.5) / (n1 + 1)) - np.log((a[0] + 0.5) / (n0 + 1)) for w, a in seen.items()}
-    vocabulary = sorted((w for w, a in seen.items() if sum(a) >= 5), key=lambda w: (-sum(seen[w]), w))[:8192]
+    vocabulary = sorted((w for w, a in seen.items() if sum(a) >= 5), key=lambda w: (-sum(seen[w]), w))
     net = BiGru(vocabulary)
-    net.words[1:, 0] = np.clip([odds[w] for w in vocabulary], -3, 3)
+    net.words[1:, 0] = [odds[w] / 2 for w in vocabulary]
     df = np.zeros((2, len(_SIZES) * net.buckets))
     for words, label, ok in zip(split, y, fit):
         if ok and words:
             df[label, np.unique(ngrams(list(set(words)), net.buckets)[0])] += 1
-    rare = df.sum(axis=0) < 5
+    seen_in = df.sum(axis=0)
     gram = np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
-    net.grams[:, 0] = np.where(rare, 0, np.clip(gram, -3, 3))
-    net.p["w"][:, 0] += 0.3
-    net.p["w"][:, net.width] += 0.3
+    net.grams[:, 0] = np.where(seen_in < 5, 0, gram / 2)
+    net.odds[:] = np.where(seen_in < 5, 0, gram / 2)
+    net.p["w"][:, [0, net.width, 2 * net.width]] += 0.3
 
     table = {w: i + 1 for i, w in enumerate(seen)}
     for words in split:
@@ -191,22 +204,27 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
     first = np.cumsum(lengths) - lengths
     m, v = ({k: np.zeros_like(q) for k, q in net.p.items()} for _ in range(2))
     sq = {"words": np.zeros((len(net.words), 1), _F), "grams": np.zeros((len(net.grams), 1), _F)}
-    step = 0
-    for epoch in range(max(epochs, 4000 // int(fit.sum()))):  # small samples are gone through more often
+    step, held, out = 0, np.flatnonzero(~fit), np.full(len(texts), np.nan)
+    chosen = np.zeros(len(texts), np.int64)  # where the window of each text starts
+    best, waited = (np.inf, net), 0
+    for epoch in range(epochs):
+        anew = epoch < 2 or epoch % 3 == 0
         for own in np.array_split(rng.permutation(np.flatnonzero(fit)), max(1, fit.sum() // 32)):
-            text, start = windows(lengths[own], size, stride)
+            text, start = windows(lengths[own], size, stride) if anew else (np.arange(len(own)), chosen[own])
             grid = _grid(flat, first[own], lengths[own], text, start, size)
             used, local = np.unique(np.append(grid, 0), return_inverse=True)
             grid = local[:-1].reshape(grid.shape)
             x, back = net.inputs([every[i] for i in used])
             x[0] = 0
             gates = net.gates(x)
-            logit = net.forward(gates, grid)
-            order = np.lexsort((logit, text))
-            best = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]  # each text's largest
-            logit, saved = net.forward(gates, grid[best], keep=True)
+            if anew:
+                logit = net.forward(gates, grid)
+                order = np.lexsort((logit, text))
+                top = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]  # each text's largest
+                grid, chosen[own] = grid[top], start[top]
+            logit, saved = net.forward(gates, grid, keep=True)
             d = ((_sigmoid(logit) - y[own]) / len(own)).astype(_F)
-            grad, dg = net.backward(d, gates, grid[best], saved)
+            grad, dg = net.backward(d, gates, grid, saved)
             grad["w"], grad["b"] = x.T @ dg, dg.sum(axis=1, keepdims=True)
             dx = (dg @ net.p["w"].transpose(0, 2, 1)).sum(axis=0)
             dx[0] = 0
@@ -215,17 +233,22 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 net.p[k] -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(_F)
             ids, at, n, by = back
-            for name, rows, g in (("words", ids, dx[:, : net.width]), ("grams", at, np.repeat(dx[:, net.width :] * by, n, axis=0))):
+            for name, rows, g in (("words", ids, dx[:, : net.width]), ("grams", at, np.repeat(dx[:, net.width : 2 * net.width] * by, n, axis=0))):
                 touched, where = np.unique(rows, return_inverse=True)
                 total = _sum_by(where, g, len(touched))
                 sq[name][touched] += (total * total).mean(axis=1, keepdims=True)
                 getattr(net, name)[touched] -= 0.03 * total / (np.sqrt(sq[name][touched]) + 1e-6)
             net.words[0] = 0
-    out = np.full(len(texts), np.nan)
-    held = np.flatnonzero(~fit)
-    if len(held):
-        out[held] = Scorer(net, size, stride).logits([texts[i] for i in held])
-    return net, out
+        if anew and len(held):
+            logit = Scorer(net, size, stride).logits([texts[i] for i in held])
+            loss = log_loss(logit, y[held])
+            if loss < best[0]:
+                best, out[held], waited = (loss, copy.deepcopy(net)), logit, 0
+            else:
+                waited += 1
+                if waited > patience:
+                    break
+    return best[1], out
 
 
 class _Rows(dict):
@@ -284,22 +307,26 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 48, stride: int = 32, epochs: int = 2, sample_rows: int = 1000, sample_bytes: int = 20_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 32, stride: int = 16, epochs: int = 24, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    known = cut(training_labels(labels, label_col).where(~fold("doc_id", folds, held_fold)), "labels")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    known = training_labels(labels, label_col).where(~fold("doc_id", folds, held_fold))
+    # Of rows that share an id, the largest text stands for it.
+    sized = base.join(known, "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("bytes"))
+    sized = cut(sized.withColumn("h", F.xxhash64("doc_id")), "labels")
+    counts = {r["label"]: r["count"] for r in sized.groupBy("label").count().collect()}  # two rows
     held = fold("doc_id", folds, held_fold).alias("held_out")
     if len(counts) < 2:
         return base.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    near = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows) for c in (0, 1)]
-    sample = base.where(F.length("text") <= sample_bytes).join(F.broadcast(near[0].unionByName(near[1])), "doc_id").dropDuplicates(["doc_id"])
-    rows = cut(sample.select("doc_id", "label", "text", F.xxhash64("doc_id").alias("h")), "sample")
-    got = [rows.where(F.col("label") == c).orderBy("h", "doc_id").limit(sample_rows).collect() for c in (0, 1)]  # at most sample_rows texts of sample_bytes
-    order = sorted((r for part in got for r in part), key=lambda r: (r["h"], r["doc_id"]))
-    if not got[0] or not got[1]:
-        return base.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    got = [sized.where(F.col("label") == c).orderBy("h", "doc_id").limit(sample_rows).collect() for c in (0, 1)]  # at most sample_rows rows without texts
+    picked = [r for part in got for r, total in zip(part, np.cumsum([r["bytes"] for r in part])) if total <= sample_bytes or r is part[0]]
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"], r["h"]) for r in picked], "doc_id long, label int, h long")
+    sample = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "h").agg(F.max_by("text", F.length("text")).alias("text"))
+    got = sorted(sample.collect(), key=lambda r: (r["h"], r["doc_id"]))  # at most sample_rows texts of sample_bytes for each class
+    # Both classes are dealt evenly, whatever part of its rows each has in the sample.
+    order = sorted((((k + 0.5) / len(part), c, r) for c in (0, 1) for part in [[r for r in got if r["label"] == c]] for k, r in enumerate(part)), key=lambda x: x[:2])
+    order = [r for _, _, r in order]
     y = np.array([r["label"] for r in order])
     net, logit = train([bytes(r["text"] or b"") for r in order], y, size, stride, epochs)
     left = ~np.isnan(logit)

@@ -274,7 +274,7 @@ def test_quality_and_toxicity(spark):
 def test_network_gradient():
     net = toxicity.BiGru([b"a", b"b"], buckets=8)
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((4, 16)).astype(np.float32)
+    x = rng.standard_normal((4, 17)).astype(np.float32)
     at = np.array([[1, 2, 3], [3, 1, 0]])
 
     def loss():
