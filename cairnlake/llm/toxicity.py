@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.quality import logistic, training_labels
-from cairnlake.llm.shared import bound_batches, cut, fold, tidy
+from cairnlake.llm.shared import Numbered, bound_batches, cut, fold, tidy
 
 _F = np.float32
 _SIZES = (3, 4, 5, 6)
@@ -172,36 +172,35 @@ def train(texts: list[bytes], y: np.ndarray, size: int, stride: int, epochs: int
     is trained by the window found last. After each such epoch the texts left out are scored: the best network so far is
     kept, and training ends when `patience` more of them have not improved on it, or after `epochs`."""
     rng = np.random.default_rng(seed)
-    split = [t.lower().split() for t in texts]
     fit = np.arange(len(texts)) < max(2, len(texts) * 4 // 5)
     n1, n0 = max(1, int((y[fit] == 1).sum())), max(1, int((y[fit] == 0).sum()))
-    seen: dict[bytes, list[int]] = {}
-    for words, label, ok in zip(split, y, fit):
-        if ok:
-            for w in set(words):
-                seen.setdefault(w, [0, 0])[label] += 1
-    odds = {w: np.log((a[1] + 0.5) / (n1 + 1)) - np.log((a[0] + 0.5) / (n0 + 1)) for w, a in seen.items()}
-    vocabulary = sorted((w for w, a in seen.items() if sum(a) >= 5), key=lambda w: (-sum(seen[w]), w))
-    net = BiGru(vocabulary)
-    net.words[1:, 0] = [odds[w] / 2 for w in vocabulary]
-    df = np.zeros((2, len(_SIZES) * net.buckets))
-    for words, label, ok in zip(split, y, fit):
+    # Words are numbered from 1, and only their numbers are kept; counts: texts of each class that a word or n-gram is in.
+    table, parts, counts = Numbered(), [], np.zeros((2, 0))
+    table[b""] = 0
+    buckets = BiGru([]).buckets
+    df = np.zeros((2, len(_SIZES) * buckets))
+    for t, label, ok in zip(texts, y, fit):
+        words = t.lower().split()
+        own = table.of(words, len(words)).astype(np.int32)
+        parts.append(own)
+        if len(table) > counts.shape[1]:
+            counts = np.concatenate([counts, np.zeros((2, len(table)))], axis=1)
         if ok and words:
-            df[label, np.unique(ngrams(list(set(words)), net.buckets)[0])] += 1
-    seen_in = df.sum(axis=0)
-    gram = np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
-    net.grams[:, 0] = np.where(seen_in < 5, 0, gram / 2)
-    net.odds[:] = np.where(seen_in < 5, 0, gram / 2)
+            counts[label, np.unique(own)] += 1
+            df[label, np.unique(ngrams(list(set(words)), buckets)[0])] += 1
+    every = list(table)
+    log_odds = lambda c: np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1))
+    seen_in, odds = counts.sum(axis=0)[: len(every)], log_odds(counts)
+    vocabulary = np.flatnonzero(seen_in >= 5)
+    net = BiGru([every[i] for i in vocabulary])
+    net.words[1:, 0] = odds[vocabulary] / 2
+    gram = np.where(df.sum(axis=0) < 5, 0, log_odds(df) / 2)
+    net.grams[:, 0] = net.odds[:] = gram
     net.p["w"][:, [0, net.width, 2 * net.width]] += 0.3
-
-    table = {w: i + 1 for i, w in enumerate(seen)}
-    for words in split:
-        for w in words:
-            table.setdefault(w, len(table) + 1)
-    every = [b"", *table]
-    flat = np.array([table[w] for words in split for w in words] or [0], np.int64)
-    lengths = np.array(list(map(len, split)))
+    lengths = np.array(list(map(len, parts)))
+    flat = np.concatenate([*parts, np.zeros(1, np.int32)])
     first = np.cumsum(lengths) - lengths
+    del table, parts, df, counts, odds, gram
     m, v = ({k: np.zeros_like(q) for k, q in net.p.items()} for _ in range(2))
     sq = {"words": np.zeros((len(net.words), 1), _F), "grams": np.zeros((len(net.grams), 1), _F)}
     step, held, out = 0, np.flatnonzero(~fit), np.full(len(texts), np.nan)
@@ -307,13 +306,14 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 32, stride: int = 16, epochs: int = 24, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 3, held_fold: int = 1, cut_off: float = 0.7, size: int = 32, stride: int = 16, epochs: int = 24, sample_rows: int = 4000, sample_bytes: int = 8 << 20) -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     known = training_labels(labels, label_col).where(~fold("doc_id", folds, held_fold))
     # Of rows that share an id, the largest text stands for it.
-    sized = base.join(known, "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("bytes"))
+    sizes = base.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("bytes"))
+    sized = sizes.join(known, "doc_id").groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
     sized = cut(sized.withColumn("h", F.xxhash64("doc_id")), "labels")
     counts = {r["label"]: r["count"] for r in sized.groupBy("label").count().collect()}  # two rows
     held = fold("doc_id", folds, held_fold).alias("held_out")
