@@ -56,6 +56,17 @@ def fnv1a_128_lowprime_of(value: bytes) -> bytes:
     return h.to_bytes(16, "little")
 
 
+def digest(algo: str, value: bytes) -> bytes:
+    """The 16 bytes that name a chunk, by the algorithm of the catalog's configuration."""
+    if algo == "sha256":
+        return hashlib.sha256(value).digest()[:16]
+    if algo == "blake2b_128":
+        return hashlib.blake2b(value, digest_size=16).digest()
+    if algo == "fnv1a_128_lowprime":
+        return fnv1a_128_lowprime_of(value)
+    raise ValueError(f"unknown digest {algo}")
+
+
 def _present(batch: pd.Series, f) -> pd.Series:
     out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
     some = batch.notna()

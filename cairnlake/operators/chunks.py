@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.chunking import ChunkSizes, chunk_ends
-from cairnlake.schema import HARDLINK_FLAG
+from cairnlake.functions.chunking import ChunkSizes, cut_points
+from cairnlake.functions.hashing import digest
+from cairnlake.schema import FILE, HARDLINK_FLAG
 
 
 def chunk_refs(entries: DataFrame) -> DataFrame:
@@ -20,13 +24,22 @@ def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["chunk_id"]).join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def content_chunks(files: DataFrame, key: str, data: str, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
-    """(key, ord, chunk_id, payload) of content-defined chunks; ids are the first 16 bytes of SHA-256."""
-    raw = files.select(key, F.col(data).cast("binary").alias("raw")).withColumn("ends", chunk_ends(F.col("raw"), sizes))
-    rows = raw.select(key, "raw", "ends", F.posexplode("ends").alias("ord", "stop"))
-    start = F.when(F.col("ord") == 0, F.lit(0).cast("long")).otherwise(F.get("ends", F.col("ord") - 1))
-    rows = rows.select(key, "ord", F.substring("raw", (start + 1).cast("int"), (F.col("stop") - start).cast("int")).alias("payload"))
-    return rows.select(key, "ord", F.substring(F.sha2("payload", 256), 1, 32).alias("chunk_id"), "payload")
+def content_chunks(files: DataFrame, key: str, data: str, sizes: ChunkSizes = ChunkSizes(), algo: str = "sha256") -> DataFrame:
+    """(key, ord, chunk_id, payload) of content-defined chunks, cut and named in one pass over each file; a null file has none."""
+    rows = files.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("raw")).where("raw is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in enumerate(batch.column(1)):
+                whole = raw.as_py()
+                ends = cut_points(whole, sizes)
+                parts = [whole[a:b] for a, b in zip([0, *ends], ends)]
+                ids = [digest(algo, x).hex() for x in parts]
+                keys = batch.column(0).take(pa.array([at] * len(parts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(parts)), pa.int32()), pa.array(ids, pa.string()), pa.array(parts, pa.binary())], names=["key", "ord", "chunk_id", "payload"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, ord int, chunk_id string, payload binary").withColumnRenamed("key", key)
 
 
 def fixed_chunks(files: DataFrame, key: str, data: str, width: int) -> DataFrame:
@@ -37,18 +50,22 @@ def fixed_chunks(files: DataFrame, key: str, data: str, width: int) -> DataFrame
 
 
 def reconstruct(refs: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
-    """(key, data, missing): chunks joined by id and put together in order; missing counts references without a payload."""
+    """(key, data, missing): chunks joined by id and put together in order; missing counts references without a payload.
+    The parts are joined as text at once, so that a file of many chunks is not copied for each of them."""
     rows = refs.join(payloads.select("chunk_id", "payload"), "chunk_id", "left")
-    parts = F.array_sort(F.collect_list(F.struct("ord", "payload")))
+    parts = F.array_sort(F.collect_list(F.struct("ord", F.hex("payload").alias("payload"))))
     out = rows.groupBy(key).agg(parts.alias("parts"), F.count_if(F.col("payload").isNull()).alias("missing"))
-    data = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, F.coalesce(x["payload"], F.lit(b""))))
+    data = F.unhex(F.array_join(F.transform("parts", lambda x: F.coalesce(x["payload"], F.lit(""))), ""))
     return out.select(key, data.alias("data"), "missing")
 
 
 def group_hardlinks(entries: DataFrame, by: tuple = ("dev", "ino")) -> DataFrame:
-    """Entries with canonical (smallest path of the group) and is_link. Groups are aggregated, then joined; other entries stay."""
-    least = entries.groupBy(*by).agg(F.min("path").alias("canonical"), F.count("*").alias("links")).where("links > 1")
-    out = entries.join(least.drop("links"), list(by), "left")
+    """Entries with canonical (smallest path of the group) and is_link. Only files with an inode number are linked: other
+    entries take no part in the groups or in the join."""
+    able = (F.col("type") == FILE) & F.col("ino").isNotNull() & (F.col("ino").cast("string") != "0")
+    least = entries.where(able).groupBy(*by).agg(F.min("path").alias("canonical"), F.count("*").alias("links")).where("links > 1").drop("links")
+    linked = entries.where(able).join(least, list(by), "left").select(*entries.columns, "canonical")
+    out = linked.unionByName(entries.where(~F.coalesce(able, F.lit(False))).withColumn("canonical", F.lit(None).cast("string")))
     return out.withColumn("is_link", F.col("canonical").isNotNull() & (F.col("path") != F.col("canonical")))
 
 

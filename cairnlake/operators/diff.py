@@ -13,7 +13,9 @@ _FIELDS = ("type", "mode", "uid", "gid", "size", "mtime_ns", "symlink_target", "
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, status): D only in old, A only in new, T another type, M content, C metadata, = none of these. One full
     outer join on the path. Files differ by size or ordered chunks, or by target if either is a hard link."""
-    side = lambda df, x: df.select("path", F.struct(*_FIELDS).alias(x))
+    # A null list of chunks is an empty one.
+    fields = [F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks") if c == "chunks" else F.col(c) for c in _FIELDS]
+    side = lambda df, x: df.select("path", F.struct(*fields).alias(x))
     both = side(old, "a").join(side(new, "b"), "path", "full_outer")
     same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     linked = F.col("a.hardlink_to").isNotNull() | F.col("b.hardlink_to").isNotNull()

@@ -61,6 +61,10 @@ def damaged_packs(packs: DataFrame) -> DataFrame:
     return packs.where(F.col("payload").isNull() | (crc32c("payload") != F.col("stored_crc"))).select("pack_id")
 
 
-def damaged_chunks(payloads: DataFrame) -> DataFrame:
-    """Chunks whose payload is missing or does not have their id (the first 16 bytes of SHA-256)."""
-    return payloads.where(F.col("payload").isNull() | (F.substring(F.sha2("payload", 256), 1, 32) != F.col("chunk_id"))).select("chunk_id")
+def damaged_chunks(payloads: DataFrame, algo: str = "sha256") -> DataFrame:
+    """Chunks whose payload is missing, or differs from their id or (where it is given) their size."""
+    from cairnlake.functions.hashing import blake2b_128, fnv1a_128_lowprime
+
+    made = {"sha256": lambda: F.substring(F.sha2("payload", 256), 1, 32), "blake2b_128": lambda: F.lower(F.hex(blake2b_128("payload"))), "fnv1a_128_lowprime": lambda: F.lower(F.hex(fnv1a_128_lowprime("payload")))}[algo]()
+    size = F.octet_length("payload") != F.col("uncomp_size") if "uncomp_size" in payloads.columns else F.lit(False)
+    return payloads.where(F.col("payload").isNull() | size | (made != F.col("chunk_id"))).select("chunk_id")

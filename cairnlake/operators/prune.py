@@ -18,23 +18,22 @@ def dead_chunks(index: DataFrame, live: DataFrame) -> DataFrame:
     return index.join(live.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def classify_packs(index: DataFrame, live: DataFrame, packs: DataFrame, threshold: float = DEAD_SHARE) -> DataFrame:
-    """(pack_id, live_chunks, dead_chunks, dead_bytes, action): keep, delete or rewrite."""
-    flagged = index.join(live.select("chunk_id").withColumn("live", F.lit(True)), "chunk_id", "left")
+def classify_packs(pack_entries: DataFrame, live: DataFrame, packs: DataFrame, threshold: float = DEAD_SHARE) -> DataFrame:
+    """(pack_id, live_chunks, dead_chunks, dead_bytes, action): keep, delete or rewrite. What a pack holds decides, not what
+    the index says of it: a chunk stored twice counts in both packs, and a pack without entries is kept."""
+    flagged = pack_entries.join(live.select("chunk_id").withColumn("live", F.lit(True)), "chunk_id", "left")
     alive = F.col("live").isNotNull()
     sums = flagged.groupBy("pack_id").agg(F.count_if(alive).alias("live_chunks"), F.count_if(~alive).alias("dead_chunks"), F.sum(F.when(alive, 0).otherwise(F.col("comp_size"))).alias("dead_bytes"))
-    action = F.when(F.col("dead_chunks") == 0, "keep").when(F.col("live_chunks") == 0, "delete").when(F.col("dead_bytes") / F.col("bytes") < threshold, "keep").otherwise("rewrite")
-    return sums.join(packs.select("pack_id", "bytes"), "pack_id").select("pack_id", "live_chunks", "dead_chunks", "dead_bytes", action.alias("action"))
+    rows = packs.select("pack_id", "bytes").join(sums, "pack_id", "left").fillna(0, ["live_chunks", "dead_chunks", "dead_bytes"])
+    action = F.when(F.col("dead_chunks") == 0, "keep").when(F.col("live_chunks") == 0, "delete").when(F.col("dead_bytes") < threshold * F.col("bytes"), "keep").otherwise("rewrite")
+    return rows.select("pack_id", "live_chunks", "dead_chunks", "dead_bytes", action.alias("action"))
 
 
-def dry_run(retained: DataFrame) -> DataFrame:
-    return retained.agg(F.count("*").alias("total"), F.count_if("keep").alias("keep"), F.count_if(~F.col("keep")).alias("delete"))
-
+def prune_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Packs and bytes before and after, and the bytes freed, in one row."""
+    side = lambda df, x: df.agg(F.count("*").alias(f"packs_{x}"), F.coalesce(F.sum("bytes"), F.lit(0)).alias(f"bytes_{x}"))
+    return side(before, "before").crossJoin(side(after, "after")).withColumn("freed", F.col("bytes_before") - F.col("bytes_after"))  # one row each
 
-def pack_rotation(chunks: DataFrame, order: str, size: str, by: str, limit: int) -> DataFrame:
-    """Pack number of each chunk within its writer: a pack is closed once its bytes are over the limit. Writers are
-    separate, so each has a running sum of its own."""
-    from pyspark.sql import Window
 
-    own = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("pack", F.floor(F.coalesce(F.sum(size).over(own), F.lit(0)) / limit).cast("long"))
+def dry_run(retained: DataFrame) -> DataFrame:
+    return retained.agg(F.count("*").alias("total"), F.count_if("keep").alias("keep"), F.count_if(~F.col("keep")).alias("delete"))

@@ -11,7 +11,7 @@ def _parts(until: str) -> str:
 
 _DIFF = f"""select coalesce(a.path, b.path) as path,
     case when a.path is null then 'A' when b.path is null then 'D' when a.type <> b.type then 'T'
-         when a.type = 2 and (a.size <> b.size or a.target <> b.target) then 'M' when a.type = 3 and a.target <> b.target then 'M'
+         when a.type = 2 and (a.size <> b.size or (a.size % 3 <> 0 and a.target <> b.target)) then 'M' when a.type = 3 and a.target <> b.target then 'M'
          when a.mode <> b.mode or a.mtime <> b.mtime then 'C' else '=' end as status
     from ({_parts("1997-01-01")}) a full join ({_parts("1998-06-01")}) b on a.path = b.path"""
 
@@ -42,6 +42,12 @@ _MISSING = f"(select l_returnflag as snapshot from lineitem where l_orderkey not
 _LOST = f"(select l_returnflag as snapshot from lineitem join {_INDEX} on chunk_id = l_orderkey where pack_id not in (select pack_id from {_PACKS}))"
 _FLAGGED = f"(select i.*, v.chunk_id is not null as live from {_INDEX} i left join {_LIVE} v on v.chunk_id = i.chunk_id)"
 
+_ALL_PACKS = "(select c_custkey as pack_id, coalesce((select sum(floor(o_totalprice)) from orders where o_custkey = c_custkey), 0)::bigint as bytes from customer where c_acctbal >= 0)"
+_CLASSIFIED = f"""with o as (select o_custkey, floor(o_totalprice)::bigint as size, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'N') as alive from orders),
+    p as (select pack_id, any_value(bytes) as bytes, count(*) filter (alive) as live_chunks, count(*) filter (not alive) as dead_chunks, coalesce(sum(size) filter (not alive), 0)::bigint as dead_bytes
+          from {_ALL_PACKS} left join o on o_custkey = pack_id group by pack_id)
+    select pack_id, live_chunks, dead_chunks, dead_bytes, case when dead_chunks = 0 then 'keep' when live_chunks = 0 then 'delete' when 4 * dead_bytes >= bytes then 'rewrite' else 'keep' end as action from p"""
+
 ORACLES = {
     "snapshot_diff": _DIFF,
     "snapshot_diff_summary": f"select status, count(*) as n from ({_DIFF}) group by status",
@@ -64,8 +70,9 @@ ORACLES = {
         (select sum(strlen(text))::bigint as i from documents), (select sum(n)::bigint as o from (select max(n_chars) as n from documents where text <> '' group by text))""",
     "pack_stats": f"select count(*) as packs, sum(bytes)::bigint as pack_bytes, (sum(bytes) // count(*))::bigint as average_bytes from {_PACKS}",
     "hardlink_groups": """select path, canonical, path <> canonical as is_link from
-        (select source || '/' || doc_id as path, min(source || '/' || doc_id) over (partition by text) as canonical, count(*) over (partition by text) as n from documents) where n > 1""",
-    "search_substring": f"select page_id, path from {_PAGES} where contains(path, 'a/1')",
+        (select source || '/' || doc_id as path, min(source || '/' || doc_id) over (partition by text, doc_id % 2) as canonical, count(*) over (partition by text, doc_id % 2) as n
+         from documents where lang is distinct from 'de' and (n_chars % 7 <> 0 or n_chars is null) and text is not null) where n > 1""",
+    "search_substring": f"select page_id, path from {_PAGES} where contains(path, 'e.com/d')",
     "search_glob": f"select page_id, path from {_PAGES} where regexp_matches(path, '^[^./][^/]*/[^./][^/]*/([^./][^/]*)?[0-9]$') or regexp_matches(path, '^[^./][^/]*//[0-9]$') or regexp_matches(path, '^/[^./]*/[0-9]$')",
     "search_totals": f"select count(*) filter (regexp_matches(path, '^[^./][^/]*/en/[^./][0-4][^/]*$')) as matches, count(distinct snapshot) as scanned from {_ENTRIES}",
     "ls_contains": f"select page_id, path from {_PAGES} where contains(lower(path), 'example')",
@@ -87,14 +94,20 @@ ORACLES = {
         select * from c union all select 'total', sum(n)::bigint from c""",
     "live_set": f"select chunk_id from {_LIVE}",
     "dead_chunks": f"select chunk_id, pack_id from {_FLAGGED} where not live",
-    "pack_classify": f"""select pack_id, live_chunks, dead_chunks, dead_bytes, case when dead_chunks = 0 then 'keep' when live_chunks = 0 then 'delete' when dead_bytes::double / bytes < 0.25 then 'keep' else 'rewrite' end as action
-        from (select pack_id, count(*) filter (live) as live_chunks, count(*) filter (not live) as dead_chunks, sum(case when live then 0 else comp_size end)::bigint as dead_bytes from {_FLAGGED} group by 1)
-        join (select pack_id as id, bytes from {_PACKS}) on id = pack_id""",
-    "pack_rotation": """select doc_id, (coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) // 20000)::bigint as pack from documents""",
+    "pack_classify": _CLASSIFIED,
+    "prune_totals": f"""select count(*) as packs_before, sum(bytes)::bigint as bytes_before, count(*) filter (action <> 'delete') as packs_after,
+        coalesce(sum(bytes) filter (action <> 'delete'), 0)::bigint as bytes_after, coalesce(sum(bytes) filter (action = 'delete'), 0)::bigint as freed from ({_CLASSIFIED}) join {_ALL_PACKS} using (pack_id)""",
+    "pack_rotation": """with recursive d as (select source, doc_id, coalesce(n_chars, 0) as n, row_number() over (partition by source order by doc_id) as k from documents),
+        r as (select source, k, doc_id, 0::bigint as pack, 36 + n as fill from d where k = 1
+              union all select d.source, d.k, d.doc_id, r.pack + (r.fill >= 20000 or r.fill + d.n > 20000)::bigint, case when r.fill >= 20000 or r.fill + d.n > 20000 then 36 else r.fill end + d.n
+              from r join d on d.source is not distinct from r.source and d.k = r.k + 1)
+        select doc_id, pack from r""",
+    "pack_round_trip": "select distinct md5(text) as chunk_id, text from documents where text is not null",
+    "bloom_lookup": "select s_suppkey % 3 as segment_id, count(*) as n from supplier group by 1",
     "scalar_functions": r"""with o as (select *, floor(o_totalprice * o_custkey)::bigint as b, regexp_replace(o_orderpriority, '[^A-Za-z0-9_-]', '_', 'g') || '_' || strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S-%g') || '_' || left(md5(o_orderkey::varchar), 8) || '.snap' as name from orders)
         select o_orderkey, case when b >= 1024::bigint ** 4 then printf('%.2f TB', b / 1024.0::double ** 4) when b >= 1024 ** 3 then printf('%.2f GB', b / 1024.0::double ** 3) when b >= 1024 ** 2 then printf('%.2f MB', b / 1024.0::double ** 2)
                                 when b >= 1024 then printf('%.2f KB', b / 1024.0::double) else b || ' B' end as size_text,
-               strftime(o_orderdate, '%Y-%m-%d %H:%M:%S UTC') as time_text, name, floor(epoch(o_orderdate))::bigint as parsed, not contains(name, '/') as safe, lower(hex(o_orderstatus)) as status_hex from o""",
+               strftime(o_orderdate, '%Y-%m-%d %H:%M:%S UTC') as time_text, name, floor(epoch(o_orderdate))::bigint as parsed, o_orderkey % 4 = 3 as safe, lower(hex(o_orderstatus)) as status_hex from o""",
     "fnv1a64": """select source, lower(printf('%016x', h)) as digest from (select source, list_reduce([14695981039346656037::hugeint] || list_transform(range(1, length(source) + 1), lambda i: ascii(source[i])::hugeint),
         lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::ubigint as h from (select distinct source from documents))""",
     "fixed_block_dedup": """with p as (select unnest(list_transform(range(0, greatest(1, ceil(length(text) / 256.0)::bigint)), lambda i: substring(text, i * 256 + 1, 256))) as x from documents)

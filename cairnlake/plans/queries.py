@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import chunking, hashing, match, scalars
-from cairnlake.operators import chunks, diff, integrity, listing, prune, retention, stats
+from cairnlake.operators import chunks, diff, integrity, listing, packs, prune, retention, stats
 
 SMALL = chunking.ChunkSizes(64, 256, 1024)
 
@@ -56,7 +56,10 @@ def _packs(spark, sf_dir) -> DataFrame:
 
 
 def snapshot_diff(spark, sf_dir):
-    return diff.snapshot_diff(_part_version(spark, sf_dir, "1997-01-01"), _part_version(spark, sf_dir, "1998-06-01"))
+    """Every third size stands for a file without chunks: its list is null in the one version and empty in the other."""
+    bare = lambda df, none: df.withColumn("chunks", F.when(F.col("size") % 3 == 0, none).otherwise(F.col("chunks")))
+    old, new = bare(_part_version(spark, sf_dir, "1997-01-01"), F.lit(None).cast("array<string>")), bare(_part_version(spark, sf_dir, "1998-06-01"), F.array().cast("array<string>"))
+    return diff.snapshot_diff(old, new)
 
 
 def snapshot_diff_summary(spark, sf_dir):
@@ -100,8 +103,10 @@ def pack_stats(spark, sf_dir):
 
 
 def hardlink_groups(spark, sf_dir):
-    """Documents with one text are links of one file; the canonical one has the smallest path."""
-    d = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(1).alias("dev"), F.md5(F.col("text").cast("binary")).alias("ino"))
+    """Documents with one text are links of one file on two devices; German ones are directories, every seventh length
+    has no inode number; the canonical one has the smallest path."""
+    ino = F.when(F.col("n_chars") % 7 == 0, "0").otherwise(F.md5(F.col("text").cast("binary")))
+    d = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.when(F.col("lang") == "de", 1).otherwise(2).alias("type"), (F.col("doc_id") % 2).alias("dev"), ino.alias("ino"))
     return chunks.group_hardlinks(d).where("canonical is not null").select("path", "canonical", "is_link")
 
 
@@ -110,7 +115,7 @@ def _pages(spark, sf_dir):
 
 
 def search_substring(spark, sf_dir):
-    return listing.search(_pages(spark, sf_dir), "a/1", glob=False).select("page_id", "path")
+    return listing.search(_pages(spark, sf_dir), "e.com/d", glob=False).select("page_id", "path")
 
 
 def search_glob(spark, sf_dir):
@@ -204,13 +209,47 @@ def dead_chunks(spark, sf_dir):
     return prune.dead_chunks(_index(spark, sf_dir), _live(spark, sf_dir)).select("chunk_id", "pack_id")
 
 
+def _held(spark, sf_dir):
+    """What packs hold: all orders, those that the index lacks too."""
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("pack_id"), F.floor("o_totalprice").cast("long").alias("comp_size"))
+
+
+def _all_packs(spark, sf_dir):
+    """Customers without debts, those without orders being empty packs."""
+    held = _held(spark, sf_dir).groupBy("pack_id").agg(F.sum("comp_size").alias("bytes"))
+    c = _t(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("pack_id"))
+    return c.join(held, "pack_id", "left").fillna(0, ["bytes"])
+
+
 def pack_classify(spark, sf_dir):
-    return prune.classify_packs(_index(spark, sf_dir), _live(spark, sf_dir), _packs(spark, sf_dir))
+    return prune.classify_packs(_held(spark, sf_dir), _live(spark, sf_dir), _all_packs(spark, sf_dir))
+
+
+def prune_totals(spark, sf_dir):
+    """Packs that are not deleted stay as they are."""
+    kept = pack_classify(spark, sf_dir).where("action <> 'delete'").select("pack_id")
+    return prune.prune_stats(_all_packs(spark, sf_dir), _all_packs(spark, sf_dir).join(kept, "pack_id", "left_semi"))
 
 
 def pack_rotation(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return prune.pack_rotation(d, "doc_id", "n_chars", "source", 20_000).select("doc_id", "pack")
+    return packs.rotation(d, "doc_id", "n_chars", "source", 20_000).select("doc_id", "pack")
+
+
+def pack_round_trip(spark, sf_dir):
+    """Distinct texts encoded, packed, found by the entries of the packs and decoded again."""
+    d = _t(spark, sf_dir, "documents").where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("chunk_id"), F.col("text").cast("binary").alias("payload")).dropDuplicates(["chunk_id"])
+    made = packs.packed(packs.encoded(d), 1, limit=1 << 20)
+    entries = made.select("pack_id", F.inline("entries"))
+    back = packs.unpacked(made, entries)
+    return back.select("chunk_id", F.decode("payload", "utf-8").alias("text"))
+
+
+def bloom_lookup(spark, sf_dir):
+    """Every segment of the filters of suppliers' digests lets its own ids through: none of them is lost."""
+    ids = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).alias("segment_id"), F.md5(F.col("s_suppkey").cast("string").cast("binary")).alias("chunk_id"))
+    got = packs.may_hold(packs.bloom(ids, bits=1 << 16), ids)
+    return got.join(ids, ["chunk_id", "segment_id"], "left_semi").groupBy("segment_id").agg(F.count("*").alias("n"))
 
 
 def scalar_functions(spark, sf_dir):
@@ -219,7 +258,7 @@ def scalar_functions(spark, sf_dir):
     name = scalars.snapshot_name(F.col("o_orderpriority"), ns, F.md5(F.col("o_orderkey").cast("string").cast("binary")))
     return o.select(
         "o_orderkey", scalars.format_bytes(F.floor(F.col("o_totalprice") * F.col("o_custkey"))).alias("size_text"), scalars.format_timestamp_utc(ns).alias("time_text"), name.alias("name"),
-        scalars.parse_snapshot_timestamp(name).alias("parsed"), scalars.is_safe_relative_path(name).alias("safe"), scalars.to_hex(F.col("o_orderstatus").cast("binary")).alias("status_hex"),
+        scalars.parse_snapshot_timestamp(name).alias("parsed"), scalars.is_safe_relative_path(F.concat(F.when(F.col("o_orderkey") % 4 == 0, "../").when(F.col("o_orderkey") % 4 == 1, "/").when(F.col("o_orderkey") % 4 == 2, "a/../").otherwise("a/"), name)).alias("safe"), scalars.to_hex(F.col("o_orderstatus").cast("binary")).alias("status_hex"),
     )
 
 
@@ -268,7 +307,7 @@ def entropy_class(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (snapshot_diff, snapshot_diff_summary, retention_dry_run, manifest_counters, repo_info, create_stats, pack_stats, hardlink_groups, search_substring, search_glob, search_totals, ls_contains, ls_children, ls_prefix, tree_sizes, extract_match, cache_hits, stale_cache, missing_index_refs, missing_pack_refs, orphan_segments, indexless_packs, rebuilt_index, latest_index, health_report, live_set, dead_chunks, pack_classify, pack_rotation, scalar_functions, fnv1a64, digests, fixed_block_dedup, cdc_chunks, cdc_dedup, reconstruct, damaged_chunks, entropy_class)
+    for f in (snapshot_diff, snapshot_diff_summary, retention_dry_run, manifest_counters, repo_info, create_stats, pack_stats, hardlink_groups, search_substring, search_glob, search_totals, ls_contains, ls_children, ls_prefix, tree_sizes, extract_match, cache_hits, stale_cache, missing_index_refs, missing_pack_refs, orphan_segments, indexless_packs, rebuilt_index, latest_index, health_report, live_set, dead_chunks, pack_classify, prune_totals, pack_rotation, pack_round_trip, bloom_lookup, scalar_functions, fnv1a64, digests, fixed_block_dedup, cdc_chunks, cdc_dedup, reconstruct, damaged_chunks, entropy_class)
 } | {
     "retention_last": _retention(last=25), "retention_daily": _retention(daily=14), "retention_weekly": _retention(weekly=20), "retention_monthly": _retention(monthly=18), "retention_yearly": _retention(yearly=4),
     "retention_union": _retention(last=5, daily=7, weekly=4, monthly=12, yearly=3),

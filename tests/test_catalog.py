@@ -1,13 +1,16 @@
 """Catalog operators against plain Python on small tables."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import chunking, hashing, match, scalars
-from cairnlake.operators import chunks, diff, integrity, listing, prune, retention
+from cairnlake.operators import chunks, diff, integrity, listing, packs, prune, retention
+from cairnlake.sources import catalog
 
 ENTRY = "path string, type int, mode int, uid long, gid long, size long, mtime_ns long, symlink_target string, hardlink_to string, chunks array<string>"
 
@@ -112,7 +115,7 @@ def test_integrity_and_prune(spark):
     assert [r.segment_id for r in integrity.orphan_segments(index, packs.where("pack_id < 3")).collect()] == [3]
     live = prune.live_chunks(refs, spark.createDataFrame([("s1",)], "snapshot string"))
     got = {r.pack_id: r.action for r in prune.classify_packs(index, live, packs).collect()}
-    assert got == {1: "rewrite", 2: "delete"}
+    assert got == {1: "rewrite", 2: "delete", 3: "keep"}  # a pack without entries stays
     held = spark.createDataFrame([(3, "q"), (2, "c")], "pack_id long, chunk_id string")
     assert [r.pack_id for r in integrity.indexless_packs(held, packs, index).collect()] == [3]
 
@@ -121,3 +124,66 @@ def test_listing(spark):
     df = spark.createDataFrame([("a/b/c", 2), ("a/b", 1), ("a/.h", 2), ("ab/x", 2)], "path string, type int")
     assert {(r.name, r.is_dir) for r in listing.children(df, "/a/").collect()} == {("b", True), (".h", False)}
     assert [r.name for r in listing.panel(df).collect()] == ["a", "ab"]
+
+
+FILES = "path string, type int, flags int, mode int, uid long, gid long, size long, mtime_ns long, ctime_ns long, dev long, ino long, symlink_target string, hardlink_to string, content binary"
+
+
+def _file(path, data, ino=0, kind=2, target=None, mtime=1):
+    return (path, kind, 0, 0o644, 0, 0, len(data or b""), mtime, mtime, 1, ino, target, None, data)
+
+
+@pytest.mark.parametrize("key,algo", [(None, 0), (b"0123456789abcdef", 3)])
+def test_catalog_round_trip(spark, tmp_path, key, algo):
+    """Create, two snapshots, verify, restore, damage, repair, prune: bytes come back, and what is unsafe stops."""
+    rng = random.Random(8)
+    at = catalog.Catalog(spark, f"file://{tmp_path}/repo", key)
+    at.create(uuid="u", chunk_min=64, chunk_avg=256, chunk_max=1024, compression=2, zstd_level=3, hash_algo=algo)
+    at.create(uuid="other")
+    assert at.config()["uuid"] == "u"
+    texts = {"r/a": rng.randbytes(6000), "r/b": rng.randbytes(5000), "r/rep": b"abc" * 3000, "r/empty": b""}
+    texts["r/link"] = texts["r/a"]
+    first = [_file("r", None, kind=1), *(_file(p, d, ino=7 if p in ("r/a", "r/link") else 0) for p, d in texts.items()), _file("r/sym", None, kind=3, target="a")]
+    at.backup(spark.createDataFrame(first, FILES), "s1", 1_600_000_000_000_000_000, writers=2, pack_bytes=2000)
+    more = [_file("r/b", texts["r/b"]), _file("r/c", rng.randbytes(4000))]
+    at.backup(spark.createDataFrame(more, FILES), "s2", 1_700_000_000_000_000_000, writers=2, pack_bytes=2000)
+    for fast in (False, True):
+        assert {r.n for r in at.verify(fast).collect()} == {0}
+    assert {r.n for r in at.health().collect()} == {0}
+    back = {r.path: r for r in at.restore("s1").collect()}
+    assert {p: bytes(back[p].data) for p in texts} == texts and back["r/sym"].symlink_target == "a" and back["r"].data is None
+    assert [r.path for r in at.restore("s2", patterns=["r/c"]).collect()] == ["r/c"]
+    assert at.resolve("x/s1") == "s1" and at.recovered_uuid() == "u"
+    held = at.table("pack_entries").join(at.table("packs"), "pack_id").collect()
+    assert all(0 <= r.offset <= r.bytes - r.comp_size for r in held) and len({r.pack_id for r in held}) > 2
+    got = at.prune(writers=1, last=1).first()
+    assert got.freed == got.bytes_before - got.bytes_after > 0 and [r.name for r in at.snapshots().collect()] == ["s2"]
+    assert {r.n for r in at.verify().collect()} == {0}
+    assert {r.path: bytes(r.data) for r in at.restore("s2").collect()} == {p: bytes(d) for p, *_, d in more}
+    at.replace("packs", at.table("packs").withColumn("payload", F.when(F.col("pack_id") == at.table("packs").agg(F.max("pack_id")).first()[0], F.lit(b"x")).otherwise(F.col("payload"))))
+    assert next(r.n for r in at.verify().collect() if r.category == "damaged_packs") == 1 and next(r.n for r in at.verify().collect() if r.category == "damaged_chunks") > 0
+    after = {r.category: r.n for r in at.repair().collect()}
+    assert after["damaged_packs"] == 0 and after["missing_chunks"] > 0
+    at.append("entries", at.entries("s2").limit(1).withColumns({"path": F.lit("../evil"), "snapshot": F.lit("s3")}))
+    with pytest.raises(ValueError, match="unsafe"):
+        at.restore("s3")
+    at.register_views("t_")
+    assert spark.sql("select count(*) from t_snapshots").first()[0] == 1
+
+
+def test_rotation_and_blooms(spark):
+    assert [(lambda r: [r.add(x) for x in (90, 90, 30, 30, 350, 10)])(packs.Rotation(100))] == [[0, 1, 2, 2, 3, 4]]
+    ids = spark.createDataFrame([(s, hashlib.md5(b"%d %d" % (s, i)).hexdigest()) for s in (1, 2) for i in range(50)], "segment_id long, chunk_id string")
+    found = packs.may_hold(packs.bloom(ids, bits=1 << 12), ids)
+    assert found.join(ids, ["segment_id", "chunk_id"], "left_semi").count() == 100 and found.count() < 120
+
+
+def test_hard_links_need_files_with_inodes(spark):
+    rows = [("b", 2, 1, 5), ("a", 2, 1, 5), ("d", 1, 1, 5), ("e", 2, 1, 0), ("f", 2, 1, 0), ("g", 2, 2, 5), ("h", 2, 1, None)]
+    got = {r.path: (r.canonical, r.is_link) for r in chunks.group_hardlinks(spark.createDataFrame(rows, "path string, type int, dev long, ino long")).collect()}
+    assert got == {"a": ("a", False), "b": ("a", True)} | {p: (None, False) for p in "defgh"}
+
+
+def test_null_and_empty_chunks_are_alike(spark):
+    old, new = (spark.createDataFrame([("x", 2, 1, 0, 0, 0, 9, None, None, c)], ENTRY) for c in (None, []))
+    assert [r.status for r in diff.snapshot_diff(old, new).collect()] == ["="]
