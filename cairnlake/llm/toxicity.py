@@ -51,7 +51,8 @@ def ngrams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     h, done = np.zeros(len(flat), np.uint64), 0
     for k, n in enumerate(_SIZES):
         while done < n:
-            h[: len(flat) - done] = h[: len(flat) - done] * np.uint64(1000003) + flat[done:] + np.uint64(1)
+            m = max(0, len(flat) - done)
+            h[:m] = h[:m] * np.uint64(1000003) + flat[done:] + np.uint64(1)
             done += 1
         ok = np.flatnonzero(place + n <= sizes[owner])
         x = (h[ok] ^ (h[ok] >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
@@ -85,12 +86,13 @@ class BiGru:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         """One row for each word, and what the gradient needs."""
+        if not len(words):
+            none = np.zeros(0, np.int64)
+            return np.zeros((0, 2 * self.width + 1), _F), (none, none, none, np.zeros((0, 1), _F))
         own = np.fromiter(map(self.index.get, words, repeat(0)), np.int64, len(words))
         at, starts = ngrams(words, self.buckets)
         n = np.diff(np.append(starts, len(at)))
         by = (1 / np.sqrt(np.maximum(n, 1)))[:, None].astype(_F)
-        if not len(words):
-            return np.zeros((0, 2 * self.width + 1), _F), (own, at, n, by)
         chars = np.add.reduceat(self.grams[at], starts, axis=0) * by
         return np.concatenate([self.words[own], chars, np.maximum.reduceat(self.odds[at], starts)[:, None]], axis=1), (own, at, n, by)
 

@@ -343,3 +343,120 @@ def test_jaccard_tiles():
         got = [(a, b) for batch in made for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         assert len(got) == len(set(got)) and set(got) == want
     assert not list(jaccard._tiles(80)(iter([])))
+
+
+def test_tiered_and_paired_merges_agree():
+    rng = np.random.default_rng(4)
+    runs = []
+    for r in range(40):
+        keys = np.unique(rng.integers(0, 60, 9)).astype("S2")
+        runs.append(dedup.Run(np.sort(keys), rng.integers(0, 5, len(keys)), r * 100 + np.arange(len(keys)), np.ones(len(keys), np.int64), np.ones(len(keys), np.int64)))
+    a, b = dedup.compact(runs, short=0), dedup.compact(runs, short=100)
+    assert all((x == y).all() for x, y in zip((a.keys, a.ids, a.entries, a.counts, a.parts), (b.keys, b.ids, b.entries, b.counts, b.parts)))
+
+
+def test_pairs_meet_a_repeated_keeper(spark):
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 40)] + [(50, 51)], "a long, b long")
+    of_a = spark.createDataFrame([(1, "x"), (50, "y")], "a long, v string")
+    got = jaccard._with_keeper(pairs, of_a, [], 10, rows=4).select("a", "b", "v").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, b, "x") for b in range(2, 40)] + [(50, 51, "y")])
+
+
+def test_nearest_on_clusters_probes_few_parts(spark, monkeypatch):
+    """Recall where most parts are not visited."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 16))[rng.integers(0, 60, 4000)] + 0.3 * rng.standard_normal((4000, 16))
+    seen, plain = [], ann.share_needed
+
+    def spy(index, router, ids, q, k, recall):
+        share = plain(index, router, ids, q, k, recall)
+        before = router.order(q)[1]
+        seen.append(((before <= share).sum(axis=1).mean(), before.shape[1]))
+        return share
+
+    monkeypatch.setattr(ann, "share_needed", spy)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u, found = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        found += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    probed, parts = seen[0]
+    assert parts == 32 and probed < parts / 3 and found >= 0.9 * 5 * 80
+
+
+def test_token_counts_in_spark(spark):
+    import public_tokenizers
+
+    texts = ["one two two", None, "", " é☃ the ", "x " * 5000, "one two two"]
+    docs = spark.createDataFrame([(i if i < 5 else None, t, 1, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, n_words string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = token_counts.Unigram.load(path).scores
+    assert abs(sum(map(math.exp, scores.values())) - 1) < 1e-9
+    low = min(scores.values()) - 10
+
+    def best(text):
+        top = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            size = len(text[end - 1].encode())
+            options = [(top[end - 1][0] + size * low, top[end - 1][1] + size)] + [(top[k][0] + scores[text[k:end]], top[k][1] + 1) for k in range(end) if text[k:end] in scores]
+            top.append(max(options, key=lambda o: (o[0], -o[1])))
+        return top[-1][1]
+
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, path).collect())
+    want = sorted((i == 5, i if i < 5 else 0, len((t or "").split()), sum(best("▁" + w) for w in (t or "").split())) for i, t in enumerate(texts))
+    assert got == want
+
+
+def test_pii_terms_and_secrets_by_brute_force(spark):
+    """Terms by counting documents one by one: a kind of entities and single entities, repeated rows, null ids, clashing columns."""
+    rng = random.Random(12)
+    low = "stone river cloud green walks under light over hill path".split()
+    filler = lambda n: " ".join(rng.choice(low) + rng.choice("abcdefgh") * 2 for _ in range(n))
+    rows = [(i, f"{filler(6)} password={''.join(rng.choice('0123456789abcdef') for _ in range(17))}f {filler(6)}") for i in range(12)]
+    rows += [(100 + i, f"{filler(7)} zorb at q{i % 3}@corp.com {filler(7)}") for i in range(9)] + [(200 + i, filler(30)) for i in range(150)] + [(None, rows[0][1]), (3, rows[3][1]), (300, None)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, key string, email int")
+    term = re.compile(r"(?<![a-zA-Z'-])[a-zA-Z][a-zA-Z'-]{2,63}(?![a-zA-Z'-])")
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}"}
+    held, pairs, entity = {}, {}, {}
+    for n, (_, t) in enumerate(rows):
+        t = t or ""
+        for w in set(term.findall(t.lower())):
+            held.setdefault(w, set()).add(n)
+        for kind, rule in rules.items():
+            for m in re.finditer(rule, t):
+                near = term.findall(t[: m.start()].lower())[-4:] + term.findall(t[m.end() :].lower())[:4]
+                for target in ((kind, m[0].lower()), kind):
+                    entity.setdefault(target, set()).add(n)
+                    for w in near:
+                        c, d = pairs.setdefault((w, target), (set(), set()))
+                        c.add(tuple(dict.fromkeys(near)))
+                        d.add(n)
+    want = {}
+    for (w, target), (c, d) in pairs.items():
+        share = len(d) / len(held[w])
+        if len(c) >= (5 if isinstance(target, str) else 2) and share >= 0.5 and math.log2(share * len(rows) / len(entity[target])) >= 3:
+            want[w] = max(want.get(w, 0), share)
+    assert {"password", "zorb"} <= want.keys()
+    for r, (i, t) in zip(sorted(pii.find_pii(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda x: (x[0] is None, x[0]))):
+        t = (t or "").lower()
+        spans = sorted((m.start(), m.end(), "term" if want[m[0]] >= 0.9 else "broad") for m in term.finditer(t) if m[0] in want)
+        assert (r.doc_id, [(s.start, s.end, s.kind) for s in r.terms]) == (i, spans)
+        assert [(s.start, s.end) for s in r.secret] == [m.span() for m in re.finditer(rules["secret"], t)]
+    clean = [r.text for r in pii.sanitise(docs).collect()]
+    assert len(clean) == len(rows) and not any("password" in t or "zorb" in t or re.search(rules["secret"], t) for t in clean)
+
+
+def test_network_scores_all_windows():
+    """The score of a text is the largest logit of its overlapping windows, taken one by one."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(n)).encode() for n in (0, 1, 31, 32, 33, 100, 257)]
+    net = toxicity.BiGru([b"a", b"bb"], seed=1)
+    net.odds[:] = np.random.default_rng(1).standard_normal(len(net.odds))
+    got = toxicity.Scorer(net, 32, 16, block=5).logits(texts)
+    for t, s in zip(texts, got):
+        words = t.split()
+        starts = sorted({min(k, max(0, len(words) - 32)) for k in range(0, max(1, len(words)), 16)})
+        x = np.concatenate([np.zeros((1, 17), np.float32), net.inputs(words)[0]])
+        one = [float(net.forward(net.gates(x), np.array([[k + i + 1 if k + i < len(words) else 0 for i in range(32)]]))[0]) for k in starts]
+        assert math.isclose(max(one), s, rel_tol=1e-4, abs_tol=1e-4)
