@@ -201,12 +201,23 @@ def _tiles(percent: int):
     return run
 
 
+def _with_keeper(pairs: DataFrame, of_a: DataFrame, on: list[str], broadcast_rows: int, rows: int = 4096) -> DataFrame:
+    """pairs joined with what is known of a (and the columns `on`). The smallest member of a large group is the a of very
+    many pairs: it is repeated once for each `rows` of them, so that no task gets them all."""
+    hot = pairs.groupBy("a").agg((F.count("*") / rows).cast("int").alias("more")).where("more > 0")
+    hot = small(cut(hot, "hot"), broadcast_rows)
+    more = F.coalesce("more", F.lit(0))
+    left = pairs.join(hot, "a", "left").withColumn("place", F.pmod(F.xxhash64("b"), more + 1).cast("int")).drop("more")
+    right = of_a.join(hot, "a", "left").withColumn("place", F.explode(F.sequence(F.lit(0), more))).drop("more")
+    return left.join(right, ["a", "place", *on])
+
+
 def _near(pairs: DataFrame, sketched: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """The pairs whose sketches of the same tag are within the Hamming bound, as those of every linked pair are."""
     asked = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked"), broadcast_rows)
     own = cut(sketched.drop("keys").join(asked, "doc_id", "left_semi"), "asked-sketches")
     of = lambda x: own.select(F.col("doc_id").alias(x), "tag", F.col("own").alias(f"own_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    joined = pairs.join(of("b"), "b").join(of("a"), ["a", "tag"])
+    joined = _with_keeper(pairs.join(of("b"), "b"), of("a"), ["tag"], broadcast_rows)
     apart = F.aggregate(F.zip_with("own_a", "own_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     low, high, both = F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), F.col("n_a") + F.col("n_b")
     joined = joined.where(100 * low >= percent * high)
@@ -221,7 +232,7 @@ def _linked(base: DataFrame, pairs: DataFrame, width: int, percent: int, broadca
     left = sets.select(F.col("doc_id").alias("b"), F.col("found").alias("of_b"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("of_a"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(left, "b").join(right, "a")
+    joined = _with_keeper(pairs.join(left, "b"), right, [], broadcast_rows)
     return joined.where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct()
 
 
