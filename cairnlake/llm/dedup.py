@@ -99,8 +99,20 @@ def merge(a: Run, b: Run) -> Run:
     return Run(keys[order], *whole)
 
 
-def compact(runs: list[Run]) -> Run:
-    """Merges runs of similar size first, so that each key is rewritten about log2(runs) times."""
+def tiered(runs: list[Run]) -> Run:
+    """One run from many short ones, by one sort; of equal keys the smallest (id, entry) stays."""
+    keys, ids, entries, counts, parts = (np.concatenate(x) for x in zip(*((r.keys, r.ids, r.entries, r.counts, r.parts) for r in runs)))
+    order = np.lexsort((entries, ids, keys))
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    top = order[first]
+    return Run(keys[top], ids[top], entries[top], np.add.reduceat(counts[order], first), np.add.reduceat(parts[order], first))
+
+
+def compact(runs: list[Run], short: int = 1024) -> Run:
+    """Runs of fewer than `short` keys, which a shard of a large table gets in great number, are merged at once; then runs
+    of similar size first, so that each key is rewritten about log2(runs) times."""
+    few = [r for r in runs if len(r.keys) < short]
+    runs = [r for r in runs if len(r.keys) >= short] + [tiered(few[i : i + 256]) for i in range(0, len(few), 256)]
     runs = sorted(runs, key=lambda r: len(r.keys))
     while len(runs) > 1:
         runs = [merge(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
