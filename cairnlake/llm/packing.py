@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.shared import Numbered, bound_batches, tidy
+from cairnlake.llm.shared import Numbered, bound_batches, release, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -69,7 +69,7 @@ class WordTokens:
     across white space. Distinct words are encoded once and kept, up to `limit` of them, and so are the distinct parts
     of plain words; other words go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
@@ -225,30 +225,34 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
-_TOKENS: dict[str, WordTokens] = {}
+_TOKENS: dict[tuple[str, int], WordTokens] = {}
 
 
-def _packer(path: str, end: int, capacity: int, pool: int):
+def _packer(path: str, end: int, capacity: int, pool: int, words: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _TOKENS:
-            _TOKENS[path] = WordTokens(path)
-        tokens = _TOKENS[path]
+        key = (path, words)
+        if key not in _TOKENS:
+            _TOKENS.clear()
+            _TOKENS[key] = WordTokens(path, words)
+        tokens = _TOKENS[key]
         packer = Packer(capacity, pool, TaskContext.get().partitionId() << 32)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 300):
+                batch = whole.slice(at, 300)
                 for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode([x or b"" for x in batch.column(1).to_pylist()], end)):
                     packer.add(doc_id, ids)
                 yield packer.drain()
+            release(collect=False)
         packer.finish()
         yield packer.drain()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end: int = 2, capacity: int = 4096, pool: int = 1500) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end: int = 2, capacity: int = 4096, pool: int = 1500, words: int = 600_000) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A worker keeps the ids of
+    about `words` distinct words."""
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return base.mapInArrow(_packer(tokenizer_path, end, capacity, pool), PIECES)
+    return base.mapInArrow(_packer(tokenizer_path, end, capacity, pool, words), PIECES)

@@ -89,9 +89,10 @@ def bound_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(BATCH, size)
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Give free memory back to the system: Spark keeps idle Python workers beside the memory of later stages."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
