@@ -96,7 +96,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Fewer words are kept than alone: the executor's heap is full after the stages before.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=200_000)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", mixing), ("packing", packing)]
