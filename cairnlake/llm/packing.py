@@ -3,8 +3,10 @@
 Documents are tokenised and longer ones are cut at the capacity. What remains are lengths; a window starts with the
 longest and is filled from a bitset of reachable sums: one shift and one disjunction for each power of two of copies of a
 length, stopping when the capacity itself is reached. The bitsets are walked back into counts of each length. The pool
-of open pieces of a task is bounded, windows leave it as soon as it is full, and the tasks share nothing, so nothing is shuffled and a lost task is run again alone. What no longer fills a window at the end of a task is
-cut into windows whose lengths are powers of two, which need no padding.
+of open pieces of a task is bounded, windows leave it as soon as it is full, and the tasks share nothing, so nothing is
+shuffled and a lost task is run again alone. Where the least slack is still above a thousandth of a window, the longest
+piece that stays open is cut to fill it. What no longer fills a window at the end of a task is cut into windows whose
+lengths are powers of two, which need no padding.
 
 Defined cases: a null text is an empty one, whose only token is the end. Every row is packed, also one that repeats another.
 """
@@ -160,12 +162,12 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 class Packer:
-    """Turns pieces into sequences; holds at most `pool` open pieces."""
+    """Turns pieces into sequences; holds at most `pool` open pieces, or more while they do not make up one window."""
 
     def __init__(self, capacity: int, pool: int, first_sequence: int):
         self.capacity, self.pool, self.sequence = capacity, pool, first_sequence
         self.open: dict[int, list] = defaultdict(list)
-        self.held = 0
+        self.held = self.tokens = 0
         self.out: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -174,14 +176,17 @@ class Packer:
             if len(part) == self.capacity:
                 self._close([(doc_id, start, part, len(ids))])
             else:
-                self.open[len(part)].append((doc_id, start, part.copy(), len(ids)))
-                self.held += 1
-        while self.held > self.pool:
+                self._open(doc_id, start, part.copy(), len(ids))
+        while self.held > self.pool and self.tokens >= self.capacity:
             self._close(self._window())
 
+    def _open(self, doc_id, start: int, part: np.ndarray, total: int) -> None:
+        self.open[len(part)].append((doc_id, start, part, total))
+        self.held, self.tokens = self.held + 1, self.tokens + len(part)
+
     def _take(self, length: int):
         piece = self.open[length].pop()
-        self.held -= 1
+        self.held, self.tokens = self.held - 1, self.tokens - length
         if not self.open[length]:
             del self.open[length]
         return piece
@@ -191,6 +196,12 @@ class Packer:
         pieces = [self._take(longest)]
         for length, n in fill({k: len(v) for k, v in self.open.items()}, self.capacity - longest).items():
             pieces += [self._take(length) for _ in range(n)]
+        slack = self.capacity - sum(len(x[2]) for x in pieces)
+        if slack > self.capacity // 1024 and self.open:
+            # Every open piece is longer than the slack, or it would be in the window.
+            doc_id, start, part, total = self._take(max(self.open))
+            pieces.append((doc_id, start, part[:slack], total))
+            self._open(doc_id, start + slack, part[slack:], total)
         return pieces
 
     def _close(self, pieces: list) -> None:

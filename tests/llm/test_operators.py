@@ -188,6 +188,33 @@ def test_fill_is_optimal():
         assert all(n <= counts[x] for x, n in used.items()) and sum(x * n for x, n in used.items()) == max(sums)
 
 
+@pytest.mark.parametrize("pool", [3, 20])
+def test_long_pieces_are_cut_to_fill(pool):
+    capacity = 4096
+    rng = random.Random(9)
+    sizes = [2500] * 120 + [rng.randrange(1, 400) for _ in range(20)] + [2500] * 30 + [3 * capacity + 5]
+    packer, ids = packing.Packer(capacity, pool, 7), {}
+    for k, n in enumerate(sizes):
+        ids[k] = np.array([rng.randrange(1 << 16) for _ in range(n)], np.uint32)
+        packer.add(k, ids[k])
+        assert packer.held <= pool or packer.tokens < capacity
+    packer.finish()
+    at, room = dict.fromkeys(ids, 0), {}
+    for doc_id, start, length, crc, total, sequence, offset in sorted(packer.out, key=lambda x: (x[0], x[1])):
+        assert start == at[doc_id] and total == sizes[doc_id] and length > 0
+        assert crc == zlib.crc32(ids[doc_id][start : start + length].astype("<u4").tobytes())
+        at[doc_id] += length
+        room.setdefault(sequence, []).append((offset, length))
+    assert at == dict(enumerate(sizes))
+    for parts in room.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+    totals = [sum(n for _, n in parts) for parts in room.values()]
+    open_ended = [n for n in totals if not capacity - capacity // 1024 <= n <= capacity]
+    # Only the last window of a task is left: powers of two that add up to less than one window.
+    assert all(n & (n - 1) == 0 for n in open_ended) and sum(open_ended) < capacity and len(set(open_ended)) == len(open_ended)
+
+
 def test_token_counts():
     rng = random.Random(5)
     scores = {"".join(rng.choice("ab▁") for _ in range(rng.randrange(1, 4))): float(-rng.randrange(0, 20)) for _ in range(25)}
