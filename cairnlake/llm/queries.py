@@ -130,4 +130,25 @@ select doc_id, size, source_size, target, (once + twice)::bigint as taken,
 from k
 """
 
-ORACLE_SQL = {"op6_exact_dedup": _DEDUP, "op9_mixing": _MIXING}
+_JACCARD = r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingles from t
+), d as (
+  select doc_id, len(shingles)::bigint as n_shingles, shingles from s
+), i as (
+  select doc_id, n_shingles, unnest(shingles) as shingle from d
+), l as (
+  select a.doc_id as a, b.doc_id as b from i a join i b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+    and 100 * least(a.n_shingles, b.n_shingles) >= 90 * greatest(a.n_shingles, b.n_shingles)
+  group by a.doc_id, b.doc_id, a.n_shingles, b.n_shingles
+  having 100 * count(*) >= 90 * (a.n_shingles + b.n_shingles - count(*))
+), r as (
+  select doc_id, doc_id as met from d union select r.doc_id, l.b from r join l on l.a = r.met
+)
+select d.doc_id, d.n_shingles, min(r.met) as component_id from d join r on r.doc_id = d.doc_id group by d.doc_id, d.n_shingles
+"""
+
+ORACLE_SQL = {"op2_jaccard": _JACCARD, "op6_exact_dedup": _DEDUP, "op9_mixing": _MIXING}
