@@ -298,6 +298,60 @@ def test_quality_and_toxicity(spark):
         assert len(none) == 402
 
 
+def test_quality_follows_plain_discriminant(spark):
+    """Difference of log densities, by covariances inverted as they are, in the order of the scores of the query."""
+    rng = random.Random(16)
+    words = "stone river cloud green walks under light".split()
+    texts = []
+    for i in range(240):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(5, 80)))
+        texts.append(text.upper() + "!! 7 " * rng.randrange(9) if i % 3 == 0 else text + "?" * rng.randrange(3))
+    texts += [None, "", "x " * 20_000]
+    rows = {i: t for i, t in enumerate(texts)}
+    label = {i: int(i % 3 != 0) for i in range(240)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, known).collect()}
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in rows.items()}
+    fit = [i for i in label if zlib.crc32(str(i).encode()) % 5 != 0]
+    own = [np.array([x[i] for i in fit if label[i] == c]) for c in (0, 1)]
+    covs = [np.cov(v.T, bias=True) for v in own]
+    pooled = sum(len(v) * c for v, c in zip(own, covs)) / len(fit)
+    covs = [0.9 * c + 0.1 * pooled + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled)) for c in covs]
+
+    def density(at, c):
+        z = at - own[c].mean(axis=0)
+        return -0.5 * (z @ np.linalg.inv(covs[c]) @ z + np.linalg.slogdet(covs[c])[1])
+
+    ids = sorted(rows)
+    want = np.array([np.clip(density(x[i], 1) - density(x[i], 0), -200, 200) for i in ids])
+    score = np.clip(np.array([got[i] for i in ids]), 1e-12, 1 - 1e-12)
+    logit = np.log(score / (1 - score))
+    inner = np.abs(logit) < 25
+    slope, shift = np.polyfit(want[inner], logit[inner], 1)
+    assert len(got) == len(rows) and slope > 0 and inner.sum() > 50
+    assert np.allclose(slope * want[inner] + shift, logit[inner], atol=1e-3 * max(1, slope))
+
+
+def test_extra_columns_clash_with_nothing(spark, docs):
+    """Columns named like the operators' own, and the same rows without them, give the same rows."""
+    extra = "size position again start length held_out score predicted label h x v part cell group kind text_sha256 keep_id component_id n_shingles terms bytes _row _words _id count".split()
+    some = docs.where("length(text) < 5000 or text is null").select("doc_id", "text", "source")
+    wide = some.select("*", *(F.lit("clash").alias(c) for c in extra))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    wide_labels = labels.select("*", *(F.lit("clash").alias(c) for c in ("label", "text", "h", "x", "count", "bytes")))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for f in (dedup.exact_dedup, jaccard.jaccard_components, mixing.mix_sources, pii.find_pii, hmm.score_hmm):
+        assert rows(f(some)) == rows(f(wide)), f.__name__
+    assert rows(quality.score_quality(some, labels)) == rows(quality.score_quality(wide, wide_labels))
+    short = {"epochs": 1, "sample_rows": 20}
+    plain, clash = toxicity.score_toxicity(some, labels, **short), toxicity.score_toxicity(wide, wide_labels, **short)
+    assert rows(plain.select("doc_id", "held_out")) == rows(clash.select("doc_id", "held_out"))
+    vectors = spark.createDataFrame([(i, [math.sin(i), math.cos(3 * i), 1.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    clash = vectors.select("*", *(F.lit("clash").alias(c) for c in ("v", "h", "part", "cell", "group", "kind", "query_id", "score")))
+    assert rows(ann.nearest(vectors)) == rows(ann.nearest(clash))
+
+
 def test_network_gradient():
     net = toxicity.BiGru([b"a", b"b"], buckets=8)
     rng = np.random.default_rng(0)
