@@ -1,11 +1,14 @@
 """From raw documents to packed training sequences: quality, exact copies, near copies, mixing, packing.
 
-Every stage decides by row. Rows with a null id are documents like any other, and rows that share an id are documents
-of their own: each is scored, compared and mixed by its own text, and packing takes what stays with the id it has.
+Every stage decides by row, and further columns of any name go through as they are. Rows with a null id are documents like any other, and rows that share an id are documents
+of their own: each is scored, compared and mixed by its own text, and packing takes what stays with the id it has. Which
+of the rows that share an id the mix takes first follows from how they are stored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,18 @@ def _kept(docs: DataFrame, numbered: DataFrame, rows: DataFrame) -> DataFrame:
     return numbered.join(small(cut(rows.select("_row"), "kept"), BROADCAST_ROWS), "_row", "left_semi").select(*docs.columns)
 
 
+def _apart(stage):
+    """The stage with all columns but those it reads under names of their own meanwhile, so that none can clash."""
+
+    @functools.wraps(stage)
+    def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        safe = [c if c in ("doc_id", "text", "source") else f"extra{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*safe), sf_dir).toDF(*docs.columns)
+
+    return whole
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, each row by its own text."""
     numbered, _ = _numbered(docs)
@@ -62,6 +77,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, numbered, scored.where("predicted = 1"))
 
 
+@_apart
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each text."""
     numbered, ids = _numbered(docs)
@@ -71,6 +87,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _kept(docs, numbered, _first(groups, ids))
 
 
+@_apart
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each group of near copies (five words, similarity of 0.8 or more)."""
     numbered, ids = _numbered(docs)
@@ -78,6 +95,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, numbered, _first(groups, ids))
 
 
+@_apart
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix in the order of the curriculum: one row for each time that a document is taken, and
     of the one document in a source that the target cuts, as many words as it takes."""
