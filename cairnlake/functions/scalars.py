@@ -11,10 +11,11 @@ _UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
 def format_bytes(n: Column) -> Column:
-    """Steps of 1024 up to TB; bytes without decimals, the others with two."""
+    """Steps of 1024 up to TB; bytes without decimals, the others with two. The exact value is rounded, ties to even, as C and
+    SQL print it; format_string would round ties up."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(_UNITS[1:], 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(F.call_function("format_number", n / float(1024**k), F.lit("0.00")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

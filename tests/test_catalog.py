@@ -63,6 +63,12 @@ def test_scalars(spark):
     assert [one.select(scalars.parse_size(F.lit(x))).first()[0] for x in ("8K", "4M", "1K", "x")] == [8192, 4 << 20, None, None]
 
 
+def test_sizes_are_rounded_as_sql_prints_them(spark):
+    sizes = [1152, 1408, 4736, 17 << 17, (1 << 20) - 1, 9 << 37, 144088387479928832, 10_005 << 20, -5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "n long").select(scalars.format_bytes(F.col("n"))).collect()]
+    assert got == ["1.12 KB", "1.38 KB", "4.62 KB", "2.12 MB", "1024.00 KB", "1.12 TB", "131047.62 TB", "9.77 GB", "-5 B"]
+
+
 def test_digests(spark):
     assert f"{int(hashing.fnv1a_64_of([b'a'])[0]):x}" == "af63dc4c8601ec8c"
     assert hashing.crc32c_of([b"123456789", b""]).tolist() == [0xE3069283, 0]
