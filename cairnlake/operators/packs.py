@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,15 @@ PACK = f"pack_id long, bytes long, stored_crc long, payload binary, entries arra
 ROTATE_BYTES = 64 << 20
 
 
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
 def encode(payload: bytes, level: int) -> tuple[bytes, int]:
     """What is stored of a chunk and its flags: it is compressed unless it looks random or does not get smaller."""
     if level and not incompressible(payload):
-        small = zstandard.ZstdCompressor(level=level).compress(payload)
+        small = _compressor(level).compress(payload)
         if len(small) < len(payload):
             return small, COMPRESSED_FLAG | ZSTD_FLAG
     return payload, 0
@@ -121,36 +127,51 @@ def packed(rows: DataFrame, first: int, writers: int = 8, limit: int = ROTATE_BY
     return dealt.select("writer", "chunk_id", "stored", "uncomp_size", "flags").repartition("writer").sortWithinPartitions("writer", "chunk_id").mapInArrow(run, PACK)
 
 
-def sliced(packs: DataFrame, index: DataFrame) -> DataFrame:
-    """(chunk_id, pack_id, uncomp_size, flags, stored): the stored bytes of the chunks that the index places in these packs,
-    null where the place is out of bounds. A pack is sliced as a whole, not once for each chunk."""
+def _placed(packs: DataFrame, index: DataFrame | None) -> DataFrame:
+    """(pack_id, payload, entries) by the index, or without one by the entries that the packs carry, which needs no join."""
+    if index is None:
+        return packs.select("pack_id", "payload", "entries")
     fields = ("chunk_id", "offset", "comp_size", "uncomp_size", "flags")
-    wanted = index.groupBy("pack_id").agg(F.collect_list(F.struct(*fields)).alias("entries"))
+    return packs.select("pack_id", "payload").join(index.groupBy("pack_id").agg(F.collect_list(F.struct(*fields)).alias("entries")), "pack_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack_id, payload, entries in zip(*(batch.column(c).to_pylist() for c in ("pack_id", "payload", "entries"))):
-                raw = payload or b""
-                stored = [raw[e["offset"] : e["offset"] + e["comp_size"]] if 0 <= e["offset"] <= len(raw) - e["comp_size"] else None for e in entries]
-                columns = [pa.array([e["chunk_id"] for e in entries], pa.string()), pa.array([pack_id] * len(entries), pa.int64()), pa.array([e["uncomp_size"] for e in entries], pa.int64()), pa.array([e["flags"] for e in entries], pa.int32()), pa.array(stored, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "pack_id", "uncomp_size", "flags", "stored"])
 
-    return packs.select("pack_id", "payload").join(wanted, "pack_id").mapInArrow(run, "chunk_id string, pack_id long, uncomp_size long, flags int, stored binary")
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack_id, payload, entries in zip(*(batch.column(c).to_pylist() for c in ("pack_id", "payload", "entries"))):
+            raw = payload or b""
+            stored = [raw[e["offset"] : e["offset"] + e["comp_size"]] if 0 <= e["offset"] <= len(raw) - e["comp_size"] else None for e in entries]
+            columns = [pa.array([e["chunk_id"] for e in entries], pa.string()), pa.array([pack_id] * len(entries), pa.int64()), pa.array([e["uncomp_size"] for e in entries], pa.int64()), pa.array([e["flags"] for e in entries], pa.int32()), pa.array(stored, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "pack_id", "uncomp_size", "flags", "stored"])
 
 
-def unpacked(packs: DataFrame, index: DataFrame, key: bytes | None = None) -> DataFrame:
-    """(chunk_id, pack_id, uncomp_size, payload) of the chunks that the index places in these packs; payload is null where
-    the place is out of bounds or the bytes cannot be decoded."""
-    rows = sliced(packs, index)
-    secret = F.col("flags").bitwiseAND(ENCRYPTED_FLAG) != 0
-    clear = F.when(secret, F.try_aes_decrypt("stored", F.lit(key), F.lit("GCM")) if key else F.lit(None)).otherwise(F.col("stored"))
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [None if x is None else decode(x, f, n) for x, f, n in zip(*(batch.column(c).to_pylist() for c in ("stored", "flags", "uncomp_size")))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["chunk_id", "pack_id", "uncomp_size", "payload"])
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [None if x is None else decode(x, f, n) for x, f, n in zip(*(batch.column(c).to_pylist() for c in ("stored", "flags", "uncomp_size")))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["chunk_id", "pack_id", "uncomp_size", "payload"])
 
-    return rows.withColumn("stored", clear).mapInArrow(opened, "chunk_id string, pack_id long, uncomp_size long, payload binary")
+def _opened_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices opened at once, without a key: what is encrypted stays shut."""
+    for batch in _slices(batches):
+        stored = [None if f & ENCRYPTED_FLAG else x for x, f in zip(batch.column("stored").to_pylist(), batch.column("flags").to_pylist())]
+        yield from _opened([batch.set_column(4, "stored", pa.array(stored, pa.binary()))])
+
+
+def sliced(packs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, pack_id, uncomp_size, flags, stored): the stored bytes of the chunks that the index, or else the packs' own
+    entries, place in these packs, null where the place is out of bounds. A pack is sliced as a whole, not once for each chunk."""
+    return _placed(packs, index).mapInArrow(_slices, "chunk_id string, pack_id long, uncomp_size long, flags int, stored binary")
+
+
+def unpacked(packs: DataFrame, index: DataFrame | None = None, key: bytes | None = None) -> DataFrame:
+    """(chunk_id, pack_id, uncomp_size, payload) of the chunks that the index, or else the packs' own entries, place in these
+    packs; payload is null where the place is out of bounds or the bytes cannot be decoded."""
+    schema = "chunk_id string, pack_id long, uncomp_size long, payload binary"
+    if not key:
+        return _placed(packs, index).mapInArrow(_opened_slices, schema)
+    secret = F.col("flags").bitwiseAND(ENCRYPTED_FLAG) != 0
+    clear = F.when(secret, F.try_aes_decrypt("stored", F.lit(key), F.lit("GCM"))).otherwise(F.col("stored"))
+    return sliced(packs, index).withColumn("stored", clear).mapInArrow(_opened, schema)
 
 
 def bloom(ids: DataFrame, by: str = "segment_id", bits: int = 1 << 24, hashes: int = 5) -> DataFrame:

@@ -237,11 +237,11 @@ def pack_rotation(spark, sf_dir):
 
 
 def pack_round_trip(spark, sf_dir):
-    """Distinct texts encoded, packed, found by the entries of the packs and decoded again."""
+    """Distinct texts encoded, packed, found by the entries of the packs and decoded again. There are as many writers as
+    partitions of a shuffle, so that a writer's share does not grow with the table where these do."""
     d = _t(spark, sf_dir, "documents").where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("chunk_id"), F.col("text").cast("binary").alias("payload")).dropDuplicates(["chunk_id"])
-    made = packs.packed(packs.encoded(d), 1, limit=1 << 20)
-    entries = made.select("pack_id", F.inline("entries"))
-    back = packs.unpacked(made, entries)
+    made = packs.packed(packs.encoded(d), 1, writers=int(spark.conf.get("spark.sql.shuffle.partitions")), limit=1 << 20)
+    back = packs.unpacked(made)
     return back.select("chunk_id", F.decode("payload", "utf-8").alias("text"))
 
 

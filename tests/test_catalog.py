@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,36 @@ def test_digests(spark):
     assert [r[0] for r in df.select(hashing.crc32c("x")).collect()] == [0xE3069283, None]
 
 
+def test_checksums_of_long_values_run_over_pieces():
+    def plain(value):
+        h = 0xFFFFFFFF
+        for b in value:
+            h ^= b
+            for _ in range(8):
+                h = h >> 1 ^ (0x82F63B78 if h & 1 else 0)
+        return h ^ 0xFFFFFFFF
+
+    rng, piece = random.Random(3), hashing.CRC32C_PIECE
+    values = [rng.randbytes(n) for n in (0, 1, piece - 1, piece, piece + 1, 2 * piece, 3 * piece + 5, 0, 40_001, 8 * piece)]
+    assert hashing.crc32c_of(values).tolist() == [plain(x) for x in values]
+    began = time.process_time()
+    hashing.crc32c_of([bytes(4 << 20)])
+    assert time.process_time() - began < 5  # a step for each byte took more than 15 s
+
+
+def test_packs_are_opened_by_their_own_entries(spark):
+    rows = spark.createDataFrame([(f"{i:02d}", bytearray(f"text {i} ".encode() * (i + 1))) for i in range(40)], "chunk_id string, payload binary")
+    made = packs.packed(packs.encoded(rows), 1, writers=3, limit=200)
+    own = packs.unpacked(made)
+    assert "Join" not in own._jdf.queryExecution().toString()
+    want = {r.chunk_id: bytes(r.payload) for r in rows.collect()}
+    assert {r.chunk_id: bytes(r.payload) for r in own.collect()} == want
+    assert {r.chunk_id: bytes(r.payload) for r in packs.unpacked(made, made.select("pack_id", F.inline("entries"))).collect()} == want
+    shut = packs.packed(packs.sealed(packs.encoded(rows), b"k" * 16), 1, writers=3, limit=200)
+    assert all(r.payload is None for r in packs.unpacked(shut).collect())
+    assert {r.chunk_id: bytes(r.payload) for r in packs.unpacked(shut, key=b"k" * 16).collect()} == want
+
+
 def _scalar_cuts(data, sizes):
     strict, loose = sizes.masks()
     out, start = [], 0
