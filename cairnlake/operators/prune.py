@@ -10,8 +10,9 @@ DEAD_SHARE = 0.25
 
 
 def live_chunks(refs: DataFrame, kept: DataFrame, snapshot: str = "snapshot") -> DataFrame:
-    """Distinct chunks (data and delta sources) of the kept snapshots."""
-    return refs.join(kept.select(snapshot), snapshot, "left_semi").select("chunk_id").distinct()
+    """Distinct chunks (data and delta sources) of the kept snapshots. Their names are few and go to all tasks: dealt by
+    snapshot, all references of one would come to one task."""
+    return refs.join(F.broadcast(kept.select(snapshot)), snapshot, "left_semi").select("chunk_id").distinct()
 
 
 def dead_chunks(index: DataFrame, live: DataFrame) -> DataFrame:

@@ -21,5 +21,11 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["live_set"])
+def test_references_are_not_dealt_by_snapshot(spark, name):
+    plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(snapshot" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
