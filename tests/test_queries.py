@@ -21,7 +21,7 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["live_set", "pack_classify", "prune_totals"])
+@pytest.mark.parametrize("name", ["live_set", "pack_classify", "prune_totals", "dead_chunks"])
 def test_references_are_not_dealt_by_snapshot(spark, name):
     plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(snapshot" not in plan
