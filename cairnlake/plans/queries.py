@@ -221,10 +221,14 @@ def _all_packs(spark, sf_dir):
     return c.join(held, "pack_id", "left").fillna(0, ["bytes"])
 
 
-def pack_classify(spark, sf_dir):
+def _classified(spark, sf_dir):
     return prune.classify_packs(_held(spark, sf_dir), _live(spark, sf_dir), _all_packs(spark, sf_dir))
 
 
+def pack_classify(spark, sf_dir):
+    return _classified(spark, sf_dir).drop("bytes")
+
+
 def prune_totals(spark, sf_dir):
     """Packs that are not deleted stay as they are."""
     kept = pack_classify(spark, sf_dir).where("action <> 'delete'").select("pack_id")

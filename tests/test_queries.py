@@ -1,9 +1,12 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cairnlake.operators import prune
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,5 +30,20 @@ def test_references_are_not_dealt_by_snapshot(spark, name):
     assert "hashpartitioning(snapshot" not in plan
 
 
+@pytest.mark.parametrize("name", ["pack_classify"])
+def test_join_with_live_chunks_is_dealt_by_size(spark, monkeypatch, name):
+    monkeypatch.setattr(prune, "TASK_BYTES", 4 << 10)
+    orders, lineitem = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("orders", "lineitem"))
+    n = prune.tasks_for(orders, lineitem)
+    assert n > 4  # partitions of a shuffle in these tests
+    plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"hashpartitioning\(chunk_id#\d+L, {n}\), REPARTITION_BY_NUM", plan)) == 2
+    test_query(spark, name)
+
+
+def test_tables_of_unknown_size_are_not_dealt(spark):
+    assert prune.tasks_for(spark.createDataFrame([(1,)], "chunk_id long")) == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
