@@ -58,5 +58,13 @@ def prune_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").crossJoin(side(after, "after")).withColumn("freed", F.col("bytes_before") - F.col("bytes_after"))  # one row each
 
 
+def planned_stats(classified: DataFrame) -> DataFrame:
+    """The same row of what classify_packs returns, in one pass: packs that are not deleted stay as they are."""
+    stays = F.col("action") != "delete"
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = classified.agg(F.count("*").alias("packs_before"), total(F.col("bytes")).alias("bytes_before"), F.count_if(stays).alias("packs_after"), total(F.when(stays, F.col("bytes"))).alias("bytes_after"))
+    return sums.withColumn("freed", F.col("bytes_before") - F.col("bytes_after"))
+
+
 def dry_run(retained: DataFrame) -> DataFrame:
     return retained.agg(F.count("*").alias("total"), F.count_if("keep").alias("keep"), F.count_if(~F.col("keep")).alias("delete"))

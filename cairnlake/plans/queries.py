@@ -230,9 +230,8 @@ def pack_classify(spark, sf_dir):
 
 
 def prune_totals(spark, sf_dir):
-    """Packs that are not deleted stay as they are."""
-    kept = pack_classify(spark, sf_dir).where("action <> 'delete'").select("pack_id")
-    return prune.prune_stats(_all_packs(spark, sf_dir), _all_packs(spark, sf_dir).join(kept, "pack_id", "left_semi"))
+    """Of all packs that have an id."""
+    return prune.planned_stats(_classified(spark, sf_dir).where("pack_id is not null"))
 
 
 def pack_rotation(spark, sf_dir):

@@ -30,7 +30,7 @@ def test_references_are_not_dealt_by_snapshot(spark, name):
     assert "hashpartitioning(snapshot" not in plan
 
 
-@pytest.mark.parametrize("name", ["pack_classify"])
+@pytest.mark.parametrize("name", ["pack_classify", "prune_totals"])
 def test_join_with_live_chunks_is_dealt_by_size(spark, monkeypatch, name):
     monkeypatch.setattr(prune, "TASK_BYTES", 4 << 10)
     orders, lineitem = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("orders", "lineitem"))
@@ -41,6 +41,17 @@ def test_join_with_live_chunks_is_dealt_by_size(spark, monkeypatch, name):
     test_query(spark, name)
 
 
+def test_prune_totals_goes_through_the_packs_once(spark):
+    plan = entry.queries()["prune_totals"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[c_custkey", plan)) == 1
+
+
+def test_totals_before_a_prune_are_those_after_it(spark):
+    rows = spark.createDataFrame([(1, 10, "keep"), (2, 20, "delete"), (3, 5, "rewrite"), (4, None, "delete")], "pack_id long, bytes long, action string")
+    for df in (rows, rows.limit(0), rows.where("action = 'delete'")):
+        assert prune.planned_stats(df).first() == prune.prune_stats(df, df.where("action <> 'delete'")).first()
+
+
 def test_tables_of_unknown_size_are_not_dealt(spark):
     assert prune.tasks_for(spark.createDataFrame([(1,)], "chunk_id long")) == 0
 
