@@ -31,7 +31,7 @@ def live_chunks(refs: DataFrame, kept: DataFrame, snapshot: str = "snapshot") ->
 
 
 def with_live(entries: DataFrame, live: DataFrame) -> DataFrame:
-    """Entries and whether their chunk is live, which all of them say."""
+    """Entries, with a column that says whether their chunk is live."""
     live, tasks = live.select("chunk_id"), tasks_for(entries, live)
     if tasks:
         entries, live = entries.repartition(tasks, "chunk_id"), live.repartition(tasks, "chunk_id")
@@ -39,7 +39,8 @@ def with_live(entries: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def dead_chunks(index: DataFrame, live: DataFrame) -> DataFrame:
-    return index.join(live.select("chunk_id"), "chunk_id", "left_anti")
+    """An outer join too: the optimizer would push an anti join below the dealing."""
+    return with_live(index, live).where("not live").drop("live")
 
 
 def classify_packs(pack_entries: DataFrame, live: DataFrame, packs: DataFrame, threshold: float = DEAD_SHARE) -> DataFrame:

@@ -30,7 +30,7 @@ def test_references_are_not_dealt_by_snapshot(spark, name):
     assert "hashpartitioning(snapshot" not in plan
 
 
-@pytest.mark.parametrize("name", ["pack_classify", "prune_totals"])
+@pytest.mark.parametrize("name", ["pack_classify", "prune_totals", "dead_chunks"])
 def test_join_with_live_chunks_is_dealt_by_size(spark, monkeypatch, name):
     monkeypatch.setattr(prune, "TASK_BYTES", 4 << 10)
     orders, lineitem = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("orders", "lineitem"))
